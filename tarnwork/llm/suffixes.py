@@ -31,8 +31,9 @@ K = 20
 #: Longest run of strings in a segment.
 RUN = 64
 BATCH_BYTES = 4_000_000
-#: Multikey quicksort goes so many bytes deep before blind tries take over.
+#: Multikey quicksort goes so many bytes deep, in keys of eight, before blind tries take over.
 SHALLOW = 24
+KEY = 8
 #: Packed bytes of a bucket that one task sorts, on average.
 BUCKET_BYTES = 48_000_000
 
@@ -184,12 +185,13 @@ def multikey_quicksort(strings: list[bytes], items: list[int], depth: int, shall
         if len(group) == 1 or at >= shallow:
             yield at, group
             continue
-        pivot = strings[group[len(group) // 2]][at]
+        end = at + KEY
+        pivot = strings[group[len(group) // 2]][at:end]
         less, same, more = [], [], []
         for i in group:
-            c = strings[i][at]
+            c = strings[i][at:end]
             (same if c == pivot else less if c < pivot else more).append(i)
-        for part, d in ((more, at), (same, at + 1), (less, at)):
+        for part, d in ((more, at), (same, end), (less, at)):
             if part:
                 stack.append((part, d))
 
@@ -285,7 +287,7 @@ def _sorted_suffixes(asked: DataFrame, docs: DataFrame, buckets: int, length: in
                         strings.append(body[i : i + length])
                         own.append((doc, start + i))
                 covered = []
-                for group in equal_strings(strings):
+                for group in equal_strings(strings) if len(set(strings)) < len(strings) else ():
                     if len(group) > 1:
                         least = min(own[i][0] for i in group)
                         covered.extend(own[i] for i in group if own[i][0] > least)
