@@ -24,7 +24,7 @@ PREFIX_CHARS = (3, 4, 5)
 #: Features of fewer training documents than this get no weight.
 LEAST_DOCS = 8
 #: The classifier is fitted on at most so many labelled documents of each class, taken by the hash of their id.
-TRAIN_PER_CLASS = 2000
+TRAIN_PER_CLASS = 1000
 #: Of a training document at most so many sentences go into the fit (evenly spread); scoring takes them all.
 TRAIN_SENTENCES = 400
 EPOCHS = 60
@@ -113,16 +113,18 @@ def bags(docs: DataFrame) -> DataFrame:
 def fit(features: list[np.ndarray], lengths: list[np.ndarray], y: np.ndarray, weight: np.ndarray, epochs: int = EPOCHS) -> Model:
     """Full-batch Adam on the noisy-or likelihood of weighted documents."""
     w, bias = np.zeros(BUCKETS), -6.0
-    lengths = [x if len(x) else np.zeros(1, np.int64) for x in lengths]
+    lengths = [x if len(x) else np.zeros(1, np.int32) for x in lengths]
     if not len(y):
         return Model(w, bias)
-    x = np.concatenate(features).astype(np.int64)
-    of_sentence = np.repeat(np.arange(sum(map(len, lengths))), np.concatenate(lengths))
-    n_sentences = sum(map(len, lengths))
-    of_doc = np.repeat(np.arange(len(y)), [len(z) for z in lengths])
-    docs_of = np.bincount(np.unique(of_doc[of_sentence] * BUCKETS + x) % BUCKETS, minlength=BUCKETS)
+    docs_of = np.zeros(BUCKETS, np.int32)
+    for f in features:
+        docs_of[np.unique(f)] += 1
     known = docs_of >= LEAST_DOCS
-    x, of_sentence = x[known[x]], of_sentence[known[x]]
+    x = np.concatenate(features).astype(np.int32)
+    n_sentences = sum(map(len, lengths))
+    of_sentence = np.repeat(np.arange(n_sentences, dtype=np.int32), np.concatenate(lengths))
+    of_sentence, x = of_sentence[known[x]], x[known[x]]
+    of_doc = np.repeat(np.arange(len(y), dtype=np.int32), [len(z) for z in lengths])
     m, v, mb, vb = np.zeros(BUCKETS), np.zeros(BUCKETS), 0.0, 0.0
     weight = weight / weight.sum()
     for t in range(1, epochs + 1):
@@ -156,7 +158,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_CLASS,
     rows = bags(id_and_text(docs).join(F.broadcast(picked.select("doc_id")), "doc_id", "left_semi")).dropDuplicates(["doc_id"]).join(F.broadcast(picked), "doc_id").orderBy("doc_id").toPandas()
     y = rows["toxic"].to_numpy(np.int64) if len(rows) else np.zeros(0, np.int64)
     weight = np.array([counts[c] / max(1, (y == c).sum()) for c in y.tolist()], float)
-    return fit([np.asarray(f, np.int64) for f in rows["features"]], [np.asarray(n, np.int64) for n in rows["lengths"]], y, weight)
+    return fit([np.asarray(f, np.int32) for f in rows["features"]], [np.asarray(n, np.int32) for n in rows["lengths"]], y, weight)
 
 
 def score_documents(docs: DataFrame, model: Model, locate_from: float = 0.5) -> DataFrame:
