@@ -24,18 +24,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, slices, stored, utf8
+from .common import id_and_text, release, slices, stored, utf8
 
 LENGTH = 50
 K = 20
 #: Longest run of strings in a segment.
 RUN = 64
-BATCH_BYTES = 4_000_000
+BATCH_BYTES = 2_000_000
 #: Multikey quicksort goes so many bytes deep, in keys of eight, before blind tries take over.
 SHALLOW = 24
 KEY = 8
 #: Packed bytes of a bucket that one task sorts, on average.
-BUCKET_BYTES = 48_000_000
+BUCKET_BYTES = 20_000_000
 
 _SEGMENT = np.dtype([("least", "<u4"), ("body", "<u8"), ("doc", "<i8"), ("start", "<u4"), ("n", "<u2"), ("flags", "<u2")])
 
@@ -68,7 +68,7 @@ def segments(texts: list[bytes], length: int = LENGTH, k: int = K) -> tuple[np.n
     if width < reach:
         least = np.minimum(least[: len(least) - (reach - width)], least[reach - width :])
     least = least[:total]
-    text = np.repeat(np.arange(len(texts)), sizes)
+    text = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
     whole = np.arange(total) + length <= ends[text]
     change = np.r_[True, (least[1:] != least[:-1]) | (text[1:] != text[:-1]) | ~whole[1:]]
     starts = np.flatnonzero(change & whole)
@@ -329,6 +329,7 @@ def duplicate_spans(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFr
     shuffle = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(shuffle, 1 + int(1.6 * size) // BUCKET_BYTES)
     found = stored(_compared(dealt_segments(docs, buckets, length, k), buckets))
+    release(docs.sparkSession)
     covered = found.where("least is null").select("doc_id", "start", "n")
     return covered.unionByName(_sorted_suffixes(found.where("least is not null"), docs, buckets, length))
 
