@@ -24,13 +24,45 @@ def threshold_sweep(rows: DataFrame, thresholds: list[float]) -> DataFrame:
     return table.withColumn("precision", precision).withColumn("recall", recall).withColumn("f1", F.when(F.col("precision") + F.col("recall") > 0, 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall"))))
 
 
-def pr_curve(rows: DataFrame) -> DataFrame:
-    """score, tp, fp, precision, recall at each distinct score, highest first."""
-    by = rows.groupBy("score").agg(F.sum("y").alias("pos"), F.count("*").alias("n"))
-    down = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    total = Window.partitionBy()
-    table = by.withColumn("tp", F.sum("pos").over(down)).withColumn("seen", F.sum("n").over(down)).withColumn("all_pos", F.sum("pos").over(total))
-    return table.select("score", "tp", (F.col("seen") - F.col("tp")).alias("fp"), (F.col("tp") / F.col("seen")).alias("precision"), (F.col("tp") / F.col("all_pos")).alias("recall"))
+def pr_curve(rows: DataFrame, slices: int = 1024) -> DataFrame:
+    """score, tp, fp, precision, recall at each distinct score, highest first.
+
+    Running counts in two steps, so that no task sees all scores: within slices of the score's range, and over the
+    slices' totals (``slices`` to a unit of score; for scores in [0, 1] that table has ``slices`` + 1 rows).
+    """
+    by = rows.groupBy("score").agg(F.sum("y").alias("pos"), F.count("*").alias("n")).withColumn("slice", F.floor(F.col("score") * slices))
+    above = Window.orderBy(F.desc("slice")).rowsBetween(Window.unboundedPreceding, -1)
+    totals = by.groupBy("slice").agg(F.sum("pos").alias("p"), F.sum("n").alias("m"))
+    before = totals.select("slice", F.coalesce(F.sum("p").over(above), F.lit(0)).alias("pos_above"), F.coalesce(F.sum("m").over(above), F.lit(0)).alias("n_above"), F.sum("p").over(Window.partitionBy()).alias("all_pos"))
+    down = Window.partitionBy("slice").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+    table = by.join(before, "slice").withColumn("tp", F.col("pos_above") + F.sum("pos").over(down)).withColumn("seen", F.col("n_above") + F.sum("n").over(down))
+    return table.select("score", "tp", (F.col("seen") - F.col("tp")).alias("fp"), (F.col("tp") / F.col("seen")).alias("precision"), F.when(F.col("all_pos") > 0, F.col("tp") / F.col("all_pos")).alias("recall"))
+
+
+def average_precision(rows: DataFrame) -> DataFrame:
+    """auc_pr, one row: precision at each distinct score, weighted by the share of positives that have it; NULL without positives."""
+    pos = rows.groupBy("score").agg(F.sum("y").alias("pos"))
+    return pr_curve(rows).join(pos, "score").agg((F.sum(F.col("precision") * F.col("pos")) / F.nullif(F.sum("pos"), F.lit(0))).alias("auc_pr"))
+
+
+#: P(X <= i) of a Poisson variable of mean 1.
+_POISSON = [0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582, 0.99991676, 0.99998975]
+
+
+def bootstrap_interval(rows: DataFrame, key: str, value: str, resamples: int = 200, alpha: float = 0.05) -> DataFrame:
+    """point, low, high and resamples of the mean of ``value``, one row; NULL bounds where there are no values.
+
+    Each row counts Poisson(1) times in each resample, drawn from a digest of its key, so that resamples need no
+    sampling pass, give the same result under any partitioning, and sum map-side.  Bounds are linear percentiles.
+    Empty resamples are left out.  Rows with a null value or key do not count.
+    """
+    known = rows.where(F.col(value).isNotNull() & F.col(key).isNotNull()).select(F.col(key).cast("string").alias("key"), F.col(value).cast("double").alias("value"))
+    each = known.select("key", "value", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("resample"))
+    draw = F.conv(F.substring(F.md5(F.concat_ws(":", "key", F.col("resample").cast("string"))), 1, 8), 16, 10).cast("double") / 4294967296.0
+    times = sum((draw >= p).cast("int") for p in _POISSON)
+    means = each.withColumn("w", times).groupBy("resample").agg((F.sum(F.col("w") * F.col("value")) / F.nullif(F.sum("w"), F.lit(0))).alias("mean")).where("mean is not null")
+    bounds = means.agg(F.percentile("mean", alpha / 2).alias("low"), F.percentile("mean", 1 - alpha / 2).alias("high"), F.count("*").alias("resamples"))
+    return known.agg(F.avg("value").alias("point")).join(F.broadcast(bounds))  # one row each
 
 
 def reliability(rows: DataFrame, bins: int = 10) -> DataFrame:

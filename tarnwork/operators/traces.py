@@ -44,3 +44,46 @@ def longest_prefix_price(rows: DataFrame, name: str, prices: dict[str, float]) -
     for prefix in sorted(prices, key=len):
         price = F.when(F.col(name).startswith(prefix), prices[prefix]).otherwise(price)
     return rows.withColumn("price", price)
+
+
+def critical_path(spans: DataFrame) -> DataFrame:
+    """(span_id, critical): the time for which each span alone kept its trace from ending; only spans with such time.
+
+    spans: (span_id, parent_id, start, stop); spans without a parent are the roots.  Going back from a span's end, the child that
+    ends last blocks it until that child's start, then the next child that began earlier, and so on; what no child blocks is
+    the span's own.  The children before which the walk has come to an instant are those that end later, so that instant is a
+    running minimum of their starts.  Shares of a trace sum to its root's length.  Ties: earlier start, then smaller id, first.
+    """
+    known = spans.where("stop > start").select("span_id", "parent_id", "start", "stop")
+    level = known.where("parent_id is null").select("span_id", F.col("start").alias("lo"), F.col("stop").alias("hi"))
+    later = Window.partitionBy("parent_id").orderBy(F.desc("stop"), "start", "span_id").rowsBetween(Window.unboundedPreceding, -1)
+    shares = []
+    while True:
+        above = level.select(F.col("span_id").alias("parent_id"), "lo", "hi")
+        below = (
+            known.join(above, "parent_id")
+            .withColumn("cursor", F.least("hi", F.coalesce(F.min("start").over(later), F.col("hi"))))
+            .select("span_id", "parent_id", F.greatest("start", "lo").alias("lo"), F.least("stop", "cursor").alias("hi"))
+            .where("hi > lo").persist()
+        )
+        blocked = below.groupBy(F.col("parent_id").alias("span_id")).agg(F.sum(F.col("hi") - F.col("lo")).alias("blocked"))
+        shares.append(level.join(blocked, "span_id", "left").select("span_id", (F.col("hi") - F.col("lo") - F.coalesce("blocked", F.lit(0.0))).alias("critical")))
+        if below.isEmpty():
+            break
+        level = below.select("span_id", "lo", "hi")
+    found = shares[0]
+    for s in shares[1:]:
+        found = found.unionByName(s)
+    return found.where("critical > 0")
+
+
+def span_walls(spans: DataFrame) -> DataFrame:
+    """(trace_id, wall): the run span's length, else from the first start to the last end of the roots; NULL if neither is known.
+
+    spans: (trace_id, parent_id, kind, start, stop, duration); a known duration goes before the difference of start and stop.
+    """
+    wall = F.coalesce("duration", F.greatest(F.lit(0.0), F.col("stop") - F.col("start")))
+    root = F.col("parent_id").isNull()
+    return spans.groupBy("trace_id").agg(F.coalesce(
+        F.max(F.when(F.col("kind") == "run", wall)), F.max(F.when(root, F.col("stop"))) - F.min(F.when(root, F.col("start")))
+    ).alias("wall"))
