@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .relational import first_wins, top_k_per
+from .relational import first_wins, latest_wins, top_k_per
 
 #: The least parser quality and page coverage of the two gates.
 PUBLISH_PARSER, PUBLISH_COVERAGE = 0.55, 0.75
@@ -54,3 +54,55 @@ def task_fingerprint(*parts: Column) -> Column:
 def unexpired(df: DataFrame, written: str, ttl_seconds: float, now: Column) -> DataFrame:
     """Rows that have not expired at ``now``; a NULL time never expires."""
     return df.where(F.col(written).isNull() | (F.unix_micros(written) + int(ttl_seconds * 1e6) >= F.unix_micros(now)))
+
+
+def upsert(current: DataFrame, changes: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """``current`` with the rows of ``changes`` in place of those of the same keys; of several changes the last by ``order``.
+
+    Both have the same columns.  NULL keys equal nothing in ``current``: its rows stay.
+    """
+    latest = latest_wins(changes, keys, order).select(*current.columns)
+    return current.join(latest.select(*keys), keys, "left_anti").select(*latest.columns).unionByName(latest)
+
+
+def published(rows: DataFrame, pointers: DataFrame, owner: str, run: str) -> DataFrame:
+    """Rows with is_published: true for those of their owner's active run; pointers: (owner, active), one row an owner.
+
+    Rows of owners without a pointer are not published.  Written as one table, the change shows at once or not at all.
+    """
+    active = pointers.select(F.col(owner).alias("_of"), F.col("active").alias("_active"))
+    return rows.join(active, F.col(owner) == F.col("_of"), "left").withColumn("is_published", F.coalesce(F.col(run) == F.col("_active"), F.lit(False))).drop("_of", "_active")
+
+
+def reference_keys(references: DataFrame) -> DataFrame:
+    """(scope, key, position): under what a reference list's entries are cited; of entries with the same key the last counts.
+
+    references: (scope, position from 1, author, year).  Keys: the position, and the first author's first and last word, alone
+    and with the year.
+    """
+    words = F.filter(F.split(F.lower(F.coalesce("author", F.lit(""))), r"\s+"), lambda w: w != "")
+    names = F.transform(F.array_compact(F.array(F.get(words, F.lit(0)), F.get(words, F.size(words) - 1))), lambda w: F.btrim(w, F.lit(".,;")))
+    named = references.select("scope", "position", "year", F.explode(F.filter(F.array_distinct(names), lambda w: w != "")).alias("name"))
+    year = F.col("year").cast("string")
+    spoken = named.select("scope", "position", F.explode(F.array_compact(F.array(F.col("name"), F.concat("name", year), F.concat("name", F.lit(" "), year)))).alias("key"))
+    ordinal = references.select("scope", "position", F.col("position").cast("string").alias("key"))
+    return ordinal.unionByName(spoken).groupBy("scope", "key").agg(F.max("position").alias("position"))
+
+
+#: The forms of a citation marker, "[5]" or "5", and "Smith et al. (2020)".
+NUMERIC_MARKER = r"^\[?(\d{1,3})\]?$"
+AUTHOR_YEAR_MARKER = r"^\(?([A-Z][A-Za-z\-]+)(?:\s+et\s+al\.)?[,\s\(]+(\d{4}[a-z]?)\)?"
+
+
+def resolve_markers(markers: DataFrame, references: DataFrame) -> DataFrame:
+    """``markers`` (scope, marker, ...) with position: the reference that each marker names, else NULL.
+
+    An author-year marker falls back to the author alone.  Each distinct marker of a scope is looked up once.
+    """
+    text = F.trim("marker")
+    number, name = F.regexp_extract(text, NUMERIC_MARKER, 1), F.lower(F.regexp_extract(text, AUTHOR_YEAR_MARKER, 1))
+    year = F.substring(F.regexp_extract(text, AUTHOR_YEAR_MARKER, 2), 1, 4)
+    tried = F.when(number != "", F.array(number)).when(name != "", F.array(F.concat(name, year), F.concat(name, F.lit(" "), year), name))
+    asked = markers.select("scope", "marker").distinct().select("scope", "marker", F.posexplode(tried).alias("turn", "key"))
+    named = asked.join(reference_keys(references), ["scope", "key"]).groupBy("scope", "marker").agg(F.min_by("position", "turn").alias("position"))
+    return markers.join(named, ["scope", "marker"], "left")

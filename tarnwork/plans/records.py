@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import rounded
@@ -142,3 +142,36 @@ def tei_parse(spark: SparkSession, d: str) -> DataFrame:
         "<div><head>%d</head></div></body><listBibl><biblStruct/><biblStruct/></listBibl></text></TEI>", "p_name", "p_type", "p_brand", "p_size")
     found = citations.tei_fields(table(spark, d, "part").select(F.col("p_partkey").alias("file_id"), xml.alias("xml")))
     return found.withColumn("headings", F.array_join("headings", ","))
+
+
+@query("""WITH c AS (SELECT o_orderkey, o_custkey, o_totalprice FROM orders), x AS (SELECT l_orderkey, max_by(l_partkey, {'a': l_shipdate, 'b': l_partkey, 'c': l_extendedprice}) AS p, max_by(l_extendedprice, {'a': l_shipdate, 'b': l_partkey, 'c': l_extendedprice}) AS e FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_orderkey)
+SELECT o_orderkey AS id, o_custkey AS other, o_totalprice AS price FROM c ANTI JOIN x ON o_orderkey = l_orderkey UNION ALL SELECT l_orderkey, p, e FROM x""")
+def upsert_checkpoint(spark: SparkSession, d: str) -> DataFrame:
+    """Orders, those with returned items replaced by their last one."""
+    current = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("other"), F.col("o_totalprice").alias("price"), F.lit(None).cast("timestamp").alias("at"))
+    changes = table(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("id"), F.col("l_partkey").alias("other"), F.col("l_extendedprice").alias("price"), F.col("l_shipdate").alias("at"))
+    return records.upsert(current, changes, ["id"], ["at", "other", "price"]).select("id", "other", "price")
+
+
+@query("""SELECT o_custkey, count(*) AS runs, count(*) FILTER (o_orderkey = active) AS shown, max(active) AS active FROM (SELECT *, max(o_orderkey) FILTER (o_orderstatus = 'F') OVER (PARTITION BY o_custkey) AS active FROM orders) GROUP BY o_custkey""")
+def publish_artifacts(spark: SparkSession, d: str) -> DataFrame:
+    """The last finished order of each customer is the one that shows."""
+    orders = table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderstatus")
+    pointers = orders.where("o_orderstatus = 'F'").groupBy("o_custkey").agg(F.max("o_orderkey").alias("active"))
+    shown = records.published(orders, pointers, "o_custkey", "o_orderkey")
+    return shown.groupBy("o_custkey").agg(F.count("*").alias("runs"), F.count_if("is_published").alias("shown"), F.max(F.when(F.col("is_published"), F.col("o_orderkey"))).alias("active"))
+
+
+@query("""WITH r AS (SELECT c_nationkey AS scope, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS pos, lower(c_mktsegment) AS seg, 1990 + c_custkey % 20 AS year FROM customer),
+n AS (SELECT scope, pos, year, unnest([seg, 'a']) AS name FROM r),
+k AS (SELECT scope, key, max(pos) AS pos FROM (SELECT scope, CAST(pos AS VARCHAR) AS key, pos FROM r UNION ALL SELECT scope, name, pos FROM n UNION ALL SELECT scope, name || year, pos FROM n) GROUP BY scope, key),
+m AS (SELECT o_orderkey, c_nationkey AS scope, CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_orderkey % 40 AS VARCHAR) WHEN o_orderkey % 3 = 1 THEN lower(c_mktsegment) || (1990 + o_orderkey % 25) END AS k1, CASE WHEN o_orderkey % 3 = 1 THEN lower(c_mktsegment) END AS k2 FROM orders JOIN customer ON o_custkey = c_custkey)
+SELECT o_orderkey, coalesce(a.pos, b.pos) AS position FROM m LEFT JOIN k a ON m.scope = a.scope AND k1 = a.key LEFT JOIN k b ON m.scope = b.scope AND k2 = b.key""")
+def marker_resolve(spark: SparkSession, d: str) -> DataFrame:
+    """Customers as the reference list of their nation, orders as citations of it."""
+    customer, key = table(spark, d, "customer"), F.col("o_orderkey")
+    place = F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey"))
+    references = customer.select(F.col("c_nationkey").alias("scope"), place.cast("long").alias("position"), F.concat("c_mktsegment", F.lit(" A.")).alias("author"), (1990 + F.col("c_custkey") % 20).alias("year"))
+    marker = F.when(key % 3 == 0, F.concat(F.lit("["), (key % 40).cast("string"), F.lit("]"))).when(key % 3 == 1, F.concat("c_mktsegment", F.lit(" et al. ("), (1990 + key % 25).cast("string"), F.lit(")"))).otherwise("see above")
+    cited = table(spark, d, "orders").join(customer, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", F.col("c_nationkey").alias("scope"), marker.alias("marker"))
+    return records.resolve_markers(cited, references).select("o_orderkey", "position")

@@ -71,3 +71,20 @@ def test_first_source_wins_and_fill(spark):
     children = spark.createDataFrame([("k", None), ("k", 7), ("z", None), (None, None)], "key string, run int")
     filled = records.fill_from_parent(children, spark.createDataFrame([("k", 4)], "key string, run int"), "key", "run").collect()
     assert sorted(map(str, map(tuple, filled))) == ["('k', 4)", "('k', 7)", "('z', None)", "(None, None)"]
+
+
+def test_markers(spark):
+    refs = spark.createDataFrame([("d", 1, "Smith J", 2020), ("d", 2, "Ann Lee", None), ("d", 3, "J. Smith", 2021), ("d", 4, None, 1999)], "scope string, position int, author string, year int")
+    want = {"[4]": 4, " 2 ": 2, "Smith et al. (2020)": 1, "(Smith, 2021a)": 3, "Smith (1990)": 3, "Lee 2001": 2, "[9]": None, "smith 2020": None, "": None, None: None}
+    got = records.resolve_markers(spark.createDataFrame([("d", m) for m in want] + [("other", "[1]")], "scope string, marker string"), refs).collect()
+    assert {r["marker"]: r["position"] for r in got if r["scope"] == "d"} == want
+    assert [r["position"] for r in got if r["scope"] == "other"] == [None]
+
+
+def test_upsert_and_publication(spark):
+    now = spark.createDataFrame([(1, "a", 0), (2, "b", 0), (None, "n", 0)], "k int, v string, t int")
+    new = spark.createDataFrame([(2, "x", 1), (2, "y", 2), (3, "z", 1)], "k int, v string, t int")
+    assert {tuple(r) for r in records.upsert(now, new, ["k"], ["t"]).select("k", "v").collect()} == {(1, "a"), (None, "n"), (2, "y"), (3, "z")}
+    rows = spark.createDataFrame([("d", 1), ("d", 2), ("e", 1)], "draft string, run int")
+    shown = records.published(rows, spark.createDataFrame([("d", 2)], "draft string, active int"), "draft", "run")
+    assert {(r["draft"], r["run"]): r["is_published"] for r in shown.collect()} == {("d", 1): False, ("d", 2): True, ("e", 1): False}
