@@ -9,7 +9,8 @@ Three steps find the places where equal strings of ``length`` bytes start, witho
    of their strings may still be equal: only these few send their bytes.
 3. The suffixes that start in those bytes are put in order deep and shallow: multikey quicksort by the first bytes,
    then blind tries for the groups whose common prefix is longer.  Neighbours with a common prefix of ``length``
-   bytes are the equal strings.
+   bytes are the equal strings.  A least hash with more segments than a task may hold is not sorted in one place: its
+   strings are aggregated to their smallest document, with map-side combine, and joined with it.
 
 Finally each document's covered bytes are cut out.
 """
@@ -34,6 +35,8 @@ BATCH_BYTES = 2_000_000
 #: Multikey quicksort goes so many bytes deep, in keys of eight, before blind tries take over.
 SHALLOW = 24
 KEY = 8
+#: Segments of one least hash that a task sorts at most; the strings of larger groups meet one by one.
+GROUP_SEGMENTS = 20_000
 #: Packed bytes of a bucket that one task sorts, on average.
 BUCKET_BYTES = 20_000_000
 
@@ -261,7 +264,25 @@ def equal_strings(strings: list[bytes], shallow: int = SHALLOW) -> Iterator[list
         yield from trie.groups()
 
 
-def _sorted_suffixes(asked: DataFrame, docs: DataFrame, buckets: int, length: int) -> DataFrame:
+def _met_strings(bodies: DataFrame, length: int) -> DataFrame:
+    """(doc_id, start, n): as the sorted suffixes, for groups of any size; each string is a row."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, BATCH_BYTES // length, 3):
+            ids, starts, strings = [], [], []
+            for doc, start, body in zip(*(batch.column(c).to_pylist() for c in (0, 1, 3))):
+                for i in range(len(body) - length + 1):
+                    ids.append(doc)
+                    starts.append(start + i)
+                    strings.append(body[i : i + length])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(starts, pa.int64()), pa.array(strings, pa.binary())], ["doc_id", "start", "string"])
+
+    strings = bodies.mapInArrow(split, "doc_id long, start long, string binary")
+    least = strings.groupBy("string").agg(F.min("doc_id").alias("first_doc"))
+    return strings.join(least, "string").where("doc_id > first_doc").select("doc_id", "start", F.lit(1).alias("n"))
+
+
+def _sorted_suffixes(asked: DataFrame, docs: DataFrame, buckets: int, length: int, most: int) -> DataFrame:
     """(doc_id, start, n): runs of strings in the asked segments that a smaller document has too."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -316,13 +337,21 @@ def _sorted_suffixes(asked: DataFrame, docs: DataFrame, buckets: int, length: in
         close()
         yield flush()
 
-    wanted = asked.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "least")).alias("wanted"))
-    bodies = docs.join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(cut, "doc_id long, start long, least long, body binary")
-    dealt = bodies.repartition(buckets, "least").sortWithinPartitions("least")
-    return dealt.mapInArrow(order, "doc_id long, start long, n int")
+    def bodies(segments: DataFrame) -> DataFrame:
+        wanted = segments.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "least")).alias("wanted"))
+        return docs.join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(cut, "doc_id long, start long, least long, body binary")
+
+    def ordered(segments: DataFrame) -> DataFrame:
+        return bodies(segments).repartition(buckets, "least").sortWithinPartitions("least").mapInArrow(order, "doc_id long, start long, n int")
+
+    large = stored(asked.groupBy("least").count().where(F.col("count") > most).select("least"))
+    if large.isEmpty():
+        return ordered(asked)
+    held = asked.join(large, "least", "left_anti")
+    return ordered(held).unionByName(_met_strings(bodies(asked.join(large, "least", "left_semi")), length))
 
 
-def duplicate_spans(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
+def duplicate_spans(docs: DataFrame, length: int = LENGTH, k: int = K, most: int = GROUP_SEGMENTS) -> DataFrame:
     """(doc_id, start, n): runs of n strings of ``length`` bytes, from byte ``start`` on, that a smaller document has too."""
     docs = id_and_text(docs).where("doc_id is not null")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -331,10 +360,10 @@ def duplicate_spans(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFr
     found = stored(_compared(dealt_segments(docs, buckets, length, k), buckets))
     release(docs.sparkSession)
     covered = found.where("least is null").select("doc_id", "start", "n")
-    return covered.unionByName(_sorted_suffixes(found.where("least is not null"), docs, buckets, length))
+    return covered.unionByName(_sorted_suffixes(found.where("least is not null"), docs, buckets, length, most))
 
 
-def suffix_dedup(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
+def suffix_dedup(docs: DataFrame, length: int = LENGTH, k: int = K, most: int = GROUP_SEGMENTS) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept (binary), kept_text, spans array<struct<start, stop>>.
 
     kept_text is kept without the bytes that no longer form a character (a cut may lie within one).
@@ -345,7 +374,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame
     """
     if k < 8 or k > length:
         raise ValueError("8 <= k <= length is needed")
-    runs = duplicate_spans(docs, length, k).groupBy(F.col("doc_id").alias("of")).agg(F.collect_list(F.struct("start", "n")).alias("runs"))
+    runs = duplicate_spans(docs, length, k, most).groupBy(F.col("doc_id").alias("of")).agg(F.collect_list(F.struct("start", "n")).alias("runs"))
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))]
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_text", "spans"]
 

@@ -107,6 +107,14 @@ def test_suffix_dedup_equals_brute_force(docs, texts, empty):
     assert suffixes.suffix_dedup(empty).count() == 0
 
 
+def test_suffix_groups_of_any_size_give_the_same(docs):
+    """Groups too large for one task's sort meet string by string; the spans are those of the sort."""
+    def spans(most):
+        return {r["doc_id"]: (r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in suffixes.suffix_dedup(docs, most=most).collect()}
+
+    assert spans(0) == spans(2) == spans(suffixes.GROUP_SEGMENTS)
+
+
 def test_blind_tries_sort():
     rng = random.Random(2)
     strings = [bytes(rng.choice(b"ab") for _ in range(16)) for _ in range(400)] * 2
