@@ -2,7 +2,7 @@
 
 Paragraphs are content-defined, so that a passage copied into the middle of other text falls into the same paragraphs
 there: a paragraph ends with each sentence (or line) of ``LONG_SENTENCE`` words or more and takes the short ones before
-it along.  The MinHash bands of its five-word shingles are tuned for recall; paragraphs that collide in a band are
+it along; a text's last short ones join the paragraph before them.  Every paragraph takes part.  The MinHash bands of its five-word shingles are tuned for recall; paragraphs that collide in a band are
 joined into candidate groups, the exact Jaccard similarity is verified within each, and the components of the verified
 links are the classes.  Of a class the smallest document's paragraphs stay; those in other documents are removed.
 """
@@ -23,8 +23,6 @@ SIMILARITY = 0.8
 RECALL = 0.99
 ROWS = 2
 LONG_SENTENCE = 6
-#: Paragraphs of fewer words are never removed.
-LEAST_WORDS = 8
 BATCH_BYTES = 4_000_000
 #: Candidate groups with more paragraphs are verified in blocks, each pair of blocks by itself.
 BLOCK = 1500
@@ -84,7 +82,10 @@ def paragraphs(texts: list[bytes]) -> dict[str, np.ndarray]:
     ends = ends[ends > 0]
     length = np.diff(np.r_[0, ends])
     last_of_text = np.isin(ends, np.searchsorted(w0, text_end))
-    cut = ends[(length >= LONG_SENTENCE) | last_of_text]
+    closes = (length >= LONG_SENTENCE) | last_of_text
+    cut, final = ends[closes], last_of_text[closes]
+    rest = final & (np.diff(np.r_[0, cut]) < LONG_SENTENCE)
+    cut = cut[final | ~np.r_[rest[1:], False]]
     first, last = np.r_[0, cut[:-1]], cut
     text = np.searchsorted(text_end, w0[first], "right")
     offset = (text_end - sizes)[text]
@@ -122,10 +123,6 @@ def band_keys(p: dict[str, np.ndarray], bands: int, rows: int = ROWS) -> np.ndar
     return keys
 
 
-def _of_least_words(p: dict[str, np.ndarray]) -> np.ndarray:
-    return p["last"] - p["first"] >= LEAST_WORDS
-
-
 def candidate_links(docs: DataFrame, buckets: int, bands: int) -> DataFrame:
     """(a, b): paragraphs that collide in a band, each linked to the least of its key; (a, a): a paragraph there twice.
 
@@ -135,11 +132,9 @@ def candidate_links(docs: DataFrame, buckets: int, bands: int) -> DataFrame:
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, BATCH_BYTES):
             p = paragraphs(utf8(batch.column(1)))
-            ok = _of_least_words(p)
-            if not ok.any():
-                continue
-            p = {k: v if k == "words" else v[ok] for k, v in p.items()}
             unit = p["unit"]
+            if not len(unit):
+                continue
             order = np.argsort(unit, kind="stable")
             same = np.r_[False, unit[order][1:] == unit[order][:-1]]
             third = same & np.r_[False, same[:-1]]
@@ -179,17 +174,16 @@ def candidate_links(docs: DataFrame, buckets: int, bands: int) -> DataFrame:
 
 
 def places(docs: DataFrame) -> DataFrame:
-    """(doc_id, unit, start, stop, body): every paragraph that may be removed; body is its bytes."""
+    """(doc_id, unit, start, stop, body): every paragraph; body is its bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, BATCH_BYTES):
             texts = utf8(batch.column(1))
             p = paragraphs(texts)
-            ok = _of_least_words(p)
-            text, start, stop = p["text"][ok], p["start"][ok], p["stop"][ok]
+            text, start, stop = p["text"], p["start"], p["stop"]
             ids = batch.column(0).take(pa.array(text)) if len(text) else pa.array([], pa.int64())
             body = [texts[t][a:b] for t, a, b in zip(text.tolist(), start.tolist(), stop.tolist())]
-            yield pa.RecordBatch.from_arrays([ids, pa.array(p["unit"][ok].view(np.int64)), pa.array(start, pa.int64()), pa.array(stop, pa.int64()), pa.array(body, pa.binary())], ["doc_id", "unit", "start", "stop", "body"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(p["unit"].view(np.int64)), pa.array(start, pa.int64()), pa.array(stop, pa.int64()), pa.array(body, pa.binary())], ["doc_id", "unit", "start", "stop", "body"])
 
     return id_and_text(docs).mapInArrow(run, "doc_id long, unit long, start long, stop long, body binary")
 

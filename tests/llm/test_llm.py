@@ -135,6 +135,20 @@ def test_paragraph_dedup_finds_copied_passages(docs, texts, empty):
     assert passages.paragraph_dedup(empty).count() == 0
 
 
+def test_paragraphs_of_any_length_are_found(spark):
+    """Six- and seven-word sentences wherever a copy begins, a single one, and a last rest: none is shut out."""
+    rng = random.Random(6)
+    sentences = lambda *sizes: " ".join(" ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(n)) + "." for n in sizes)
+    passage, single, end = sentences(6, 7, 7, 6, 6, 7, 6, 7, 6), sentences(6), sentences(9, 3)
+    rows = [(1, f"{passage} {single} {sentences(9, 12)}"), (2, f"{sentences(9, 6)} {passage} {sentences(9)}"), (3, f"{sentences(9)} {single} {sentences(9)}"), (4, sentences(12) + " " + end), (5, sentences(8) + " " + end)]
+    got = by_id(passages.paragraph_dedup(spark.createDataFrame(rows, "doc_id long, text string")))
+    texts = dict(rows)
+    cut = {i: [texts[i][s["start"] : s["stop"]] for s in r["spans"]] for i, r in got.items()}
+    assert cut == {1: [], 2: [passage[:-1]], 3: [single[:-1]], 4: [], 5: [end[:-1]]}
+    found = passages.paragraphs([t.encode() for t in texts.values()])
+    assert (found["last"] - found["first"] >= passages.LONG_SENTENCE).all()
+
+
 def test_similar_paragraphs_equal_all_pairs():
     rng = random.Random(3)
     bodies = [" ".join(rng.choices(WORDS, k=30)) for _ in range(15)]
