@@ -13,6 +13,8 @@ from .relational import top_k_per
 
 #: Queries that are scored against the chunks at a time; bounds what is broadcast.
 QUERY_BLOCK = 2048
+#: Chunks that are multiplied with a block of queries at a time where all pairs count; bounds a task's matrices.
+CHUNK_SLICE = 1024
 
 
 def knn(queries: DataFrame, chunks: DataFrame, k: int, least: float | None = None, strict: bool = False) -> DataFrame:
@@ -63,6 +65,91 @@ def _scorer(ids: np.ndarray, matrix: np.ndarray, k: int, least: float | None, st
     return run
 
 
+def label_separation(queries: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(same, n, mean, least, most): cosines of all query-chunk pairs by whether their labels agree, a query itself left out.
+
+    queries: (query_id long, vector, query_label long); chunks: (chunk_id long, vector, doc_id long).  same is null where a label
+    is.  Each task returns three rows at most for a block of queries, whatever the number of pairs.
+    """
+
+    def totals(ids: np.ndarray, labels: pa.Array, slices: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+        at = {g: [0, 0.0, np.inf, -np.inf] for g in (False, True, None)}
+        of, has = labels.fill_null(0).to_numpy(zero_copy_only=False), labels.is_valid().to_numpy(zero_copy_only=False)
+        for chunk, label, similarity in slices:
+            other = ids[:, None] != chunk
+            known = has[:, None] & label.is_valid().to_numpy(zero_copy_only=False)
+            equal = of[:, None] == label.fill_null(0).to_numpy(zero_copy_only=False)
+            for g, mask in ((False, known & ~equal), (True, known & equal), (None, ~known)):
+                s = similarity[mask & other]
+                if len(s):
+                    n, total, least, most = at[g]
+                    at[g] = [n + len(s), total + float(s.sum()), min(least, float(s.min())), max(most, float(s.max()))]
+        rows = [(g, *v) for g, v in at.items() if v[0]]
+        kinds = [pa.bool_(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], t) for i, t in enumerate(kinds)], ["same", "n", "total", "least", "most"])
+
+    parts = _all_pairs(queries, chunks, totals, "same boolean, n long, total double, least double, most double")
+    return parts.groupBy("same").agg(F.sum("n").alias("n"), (F.sum("total") / F.sum("n")).alias("mean"), F.min("least").alias("least"), F.max("most").alias("most"))
+
+
+def document_separation(queries: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(n_same, mean_same, sd_same, n_other, mean_other, sd_other, gap): cosines pooled to documents, relevant or not.
+
+    As ``label_separation``, but a query's score for a document (doc_id) is its best chunk's there.  Deviations are of the whole
+    population.  A task returns one score for each query and document of a slice of its chunks.
+    """
+
+    def best(ids: np.ndarray, labels: pa.Array, slices: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+        for chunk, label, similarity in slices:
+            valid = np.flatnonzero(label.is_valid().to_numpy(zero_copy_only=False))
+            if not len(valid):
+                continue
+            doc = label.fill_null(0).to_numpy(zero_copy_only=False)[valid]
+            order = np.argsort(doc, kind="stable")
+            doc, at = doc[order], valid[order]
+            start = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
+            score = np.maximum.reduceat(np.where(ids[:, None] == chunk[at], -np.inf, similarity[:, at]), start, axis=1)
+            q, d = np.nonzero(score > -np.inf)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[q]), labels.take(pa.array(q)), pa.array(doc[start][d]), pa.array(score[q, d])], ["query_id", "query_label", "doc_id", "score"])
+
+    parts = _all_pairs(queries, chunks, best, "query_id long, query_label long, doc_id long, score double")
+    pooled = parts.where("query_label is not null").groupBy("query_id", "query_label", "doc_id").agg(F.max("score").alias("score"))
+    same, other = (F.when(c, F.col("score")) for c in (F.col("query_label") == F.col("doc_id"), F.col("query_label") != F.col("doc_id")))
+    figures = [f(s).alias(f"{name}_{kind}") for kind, s in (("same", same), ("other", other)) for name, f in (("n", F.count), ("mean", F.avg), ("sd", F.stddev_pop))]
+    return pooled.agg(*figures).withColumn("gap", F.col("mean_same") - F.col("mean_other"))
+
+
+def _all_pairs(queries: DataFrame, chunks: DataFrame, reduce, schema: str) -> DataFrame:
+    """What ``reduce`` makes, in each task and for each block of queries, of (chunk ids, labels, cosines) slice by slice."""
+    known = queries.where("query_id is not null AND vector is not null").select(F.col("query_id").cast("long"), F.col("query_label").cast("long"), "vector")
+    of = chunks.where("chunk_id is not null AND vector is not null").select(F.col("chunk_id").cast("long"), F.col("doc_id").cast("long"), "vector")
+    blocks = max(1, -(-known.count() // QUERY_BLOCK))
+    parts = []
+    for b in range(blocks):
+        block = known.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).toArrow().combine_chunks()
+        ids, labels = block["query_id"].to_numpy(), pa.array(block["query_label"].to_pylist(), pa.int64())
+        matrix = _unit(np.array(block["vector"].to_pylist(), np.float64).reshape(len(ids), -1)) if len(ids) else np.zeros((0, 0))
+        parts.append(of.mapInArrow(_slice_scorer(ids, labels, matrix, reduce), schema))
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    return every
+
+
+def _slice_scorer(ids: np.ndarray, labels: pa.Array, matrix: np.ndarray, reduce):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def slices() -> Iterator[tuple]:
+            for whole in batches:
+                for start in range(0, whole.num_rows if len(ids) else 0, CHUNK_SLICE):
+                    batch = whole.slice(start, CHUNK_SLICE)
+                    flat = batch.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+                    yield batch.column(0).to_numpy(zero_copy_only=False), batch.column(1), matrix @ _unit(flat.reshape(batch.num_rows, -1)).T
+
+        yield from reduce(ids, labels, slices())
+
+    return run
+
+
 def keyword_search(docs: DataFrame, terms: list[str], every: bool, k: int) -> DataFrame:
     """(doc_id, score): documents with all (``every``) or any of the terms, best first.
 

@@ -110,9 +110,16 @@ def pool_oracle(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {_PAIRS} SELECT query_label = doc_id AS same, count(*) AS n, round(avg(s), 6) AS mean, round(min(s), 6) AS least, round(max(s), 6) AS most FROM pairs WHERE query_id <> chunk_id GROUP BY 1""")
 def separation(spark: SparkSession, d: str) -> DataFrame:
     """Similarities of the queries to chunks with their label and to others."""
-    q, c = _vectors(spark, d)
-    found = retrieval.knn(q, c, 1 << 20).join(c.select("chunk_id", "doc_id"), "chunk_id").join(q.select("query_id", "query_label"), "query_id").where("query_id <> chunk_id")
-    return found.groupBy((F.col("query_label") == F.col("doc_id")).alias("same")).agg(F.count("*").alias("n"), rounded(F.avg("similarity")).alias("mean"), rounded(F.min("similarity")).alias("least"), rounded(F.max("similarity")).alias("most"))
+    return retrieval.label_separation(*_vectors(spark, d)).select("same", "n", *[rounded(c).alias(c) for c in ("mean", "least", "most")])
+
+
+@query(f"""WITH {_PAIRS}, pooled AS (SELECT query_id, query_label, doc_id, max(s) AS score FROM pairs WHERE query_id <> chunk_id GROUP BY ALL),
+k AS (SELECT CASE WHEN query_label = doc_id THEN score END AS a, CASE WHEN query_label <> doc_id THEN score END AS b FROM pooled)
+SELECT count(a) AS n_same, round(avg(a), 6) AS mean_same, round(stddev_pop(a), 6) AS sd_same, count(b) AS n_other, round(avg(b), 6) AS mean_other, round(stddev_pop(b), 6) AS sd_other, round(avg(a) - avg(b), 6) AS gap FROM k""")
+def separation_pooled(spark: SparkSession, d: str) -> DataFrame:
+    """The same after pooling to documents, with the deviations and the gap of the means."""
+    found = retrieval.document_separation(*_vectors(spark, d))
+    return found.select("n_same", "n_other", *[rounded(c).alias(c) for c in ("mean_same", "sd_same", "mean_other", "sd_other", "gap")])
 
 
 def _keyword_sql(kinds: int) -> str:

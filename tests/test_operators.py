@@ -2,6 +2,7 @@
 
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -117,3 +118,34 @@ def test_damaged_json_lines(spark, tmp_path):
     schema = spark.createDataFrame([], "span_id string, trace_id string").schema
     got = [r["reason"] for r in json_lines(spark, str(tmp_path), schema, ["span_id", "trace_id"]).collect()]
     assert got[0] is None and got[1] == "blank" and got[3] == "not_json" and got[4] == "missing:trace_id" and got[2] is not None
+
+
+def test_separation_takes_all_pairs(spark, monkeypatch):
+    """Blocks, slices, null labels and the query itself; no nearest-neighbour search with its bound on k stands before it."""
+    import __spark_entry__ as registered
+
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 2)
+    monkeypatch.setattr(retrieval, "CHUNK_SLICE", 2)
+    rng = np.random.default_rng(3)
+    vectors = rng.normal(size=(12, 4))
+    labels = [0, 1, 2, None, 1, 0, 2, 1, 0, 1, 2, 0]
+    chunks = spark.createDataFrame([(i, [float(x) for x in v], labels[i]) for i, v in enumerate(vectors)], "chunk_id long, vector array<double>, doc_id long").repartition(3)
+    queries = chunks.where("chunk_id % 3 = 0").select(F.col("chunk_id").alias("query_id"), "vector", F.col("doc_id").alias("query_label"))
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    pairs, pooled = {}, {}
+    for q in range(0, 12, 3):
+        for c in range(12):
+            if q != c:
+                s = float(unit[q] @ unit[c])
+                known = labels[q] is not None and labels[c] is not None
+                pairs.setdefault(labels[q] == labels[c] if known else None, []).append(s)
+                if known:
+                    pooled[q, labels[c]] = max(s, pooled.get((q, labels[c]), -2))
+    got = {r["same"]: tuple(r)[1:] for r in retrieval.label_separation(queries, chunks).collect()}
+    assert got == {k: pytest.approx((len(v), np.mean(v), min(v), max(v))) for k, v in pairs.items()}
+    same, other = ([s for (q, d), s in pooled.items() if (labels[q] == d) == t] for t in (True, False))
+    want = (len(same), np.mean(same), np.std(same), len(other), np.mean(other), np.std(other), np.mean(same) - np.mean(other))
+    assert tuple(retrieval.document_separation(queries, chunks).first()) == pytest.approx(want)
+    assert retrieval.label_separation(queries.limit(0), chunks).count() == 0
+    monkeypatch.setattr(retrieval, "knn", None)
+    assert registered.queries()["separation"](spark, "/root/testdata/sf0.001").count() == 2
