@@ -117,6 +117,32 @@ def search(index: DataFrame, by_window: dict[tuple, list[str]], by_item: dict[st
     return index.mapInArrow(run, _HITS)
 
 
+def _near(starts: np.ndarray, places: list[np.ndarray]) -> np.ndarray:
+    """Documents with a window of NEAR_SPAN words that has every term; places: the posting list of each, the rarest first."""
+    anchor = places[0].astype(np.int64)
+    ranges = []
+    for p in places:
+        a, b = np.searchsorted(p, anchor - NEAR_SPAN, "right"), np.searchsorted(p, anchor + NEAR_SPAN, "left")
+        ok = a < b
+        anchor, ranges = anchor[ok], [(x[ok], y[ok]) for x, y in [*ranges, (a, b)]]
+        if not len(anchor):
+            return anchor
+    # the merged lists around the rarest term's places: a window ends at one of them, and each term's last place before is best
+    merged = []
+    for p, (a, b) in zip(places, ranges):
+        n = b - a
+        merged.append(p[np.repeat(a - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())])
+    last = np.unique(np.concatenate(merged)).astype(np.int64)
+    first = last
+    for p in places:
+        at = np.searchsorted(p, last, "right") - 1
+        last, first, at = last[at >= 0], first[at >= 0], at[at >= 0]
+        first = np.minimum(first, p[at])
+    first, last = (x[last - first < NEAR_SPAN] for x in (first, last))
+    of = np.searchsorted(starts, first, "right")
+    return of[of == np.searchsorted(starts, last, "right")] - 1
+
+
 def _search_block(ids, starts, n_words, lists, windows, near) -> pa.RecordBatch:
     total = int(starts[-1] + n_words[-1] + 1) if len(starts) else 0
     hit = np.zeros(total + 1, np.int32)
@@ -141,27 +167,8 @@ def _search_block(ids, starts, n_words, lists, windows, near) -> pa.RecordBatch:
             for d in np.unique(np.searchsorted(starts, found, "right") - 1).tolist():
                 exact[d].update(items)
     for item, terms in near.items():
-        found = lists.get(terms[0])
-        if found is None:
-            continue
-        low = high = found
-        for t in terms[1:]:
-            other = lists.get(t)
-            if other is None:
-                found = found[:0]
-                break
-            at = np.searchsorted(other, found)
-            after = other[np.minimum(at, len(other) - 1)]
-            before = other[np.maximum(at - 1, 0)]
-            nearest = np.where(np.abs(after - found) <= np.abs(found - before), after, before)
-            low, high = np.minimum(low, nearest), np.maximum(high, nearest)
-            ok = high - low < NEAR_SPAN
-            found, low, high = found[ok], low[ok], high[ok]
-            if not len(found):
-                break
-        if len(found):
-            of = np.searchsorted(starts, low, "right")
-            for d in np.unique(of[of == np.searchsorted(starts, high, "right")] - 1).tolist():
+        if all(t in lists for t in terms):
+            for d in np.unique(_near(starts, [lists[t] for t in terms])).tolist():
                 close[d].add(item)
     inside = np.flatnonzero(np.cumsum(hit[:-1]) > 0)
     of = np.searchsorted(starts, inside, "right") - 1
@@ -182,7 +189,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, block
 
     A document word is hit inside any place where a window of ``window`` words of an item occurs (items of fewer
     words are one window; items without words have none).  contaminated: hits are a twentieth of the words or more.
-    Null texts have no words.  near_items: items not found exactly whose rarest words lie close together.
+    Null texts have no words.  near_items: items not found exactly whose NEAR_TERMS
+    rarest words all lie within NEAR_SPAN words of the document, in any order.
     """
     queries = items.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     size = queries.agg(F.sum(F.octet_length("text"))).first()[0] or 0

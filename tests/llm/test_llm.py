@@ -199,6 +199,20 @@ def test_decontamination_equals_brute_force(spark, docs, texts, empty, block):
     assert not any(r["contaminated"] for r in decontaminate.decontaminate(docs, spark.createDataFrame([], "item_id long, text string")).collect())
 
 
+def test_near_items_equal_brute_force(spark):
+    """Every window of NEAR_SPAN words counts, also where a term's nearest place lies on the wrong side of the rarest term's."""
+    rng, filler = random.Random(8), [f"w{k}" for k in range(40)]
+    wrong_side = filler[:5] + ["bb"] + filler[:19] + ["aa"] + filler[:20] + ["bb", "cc"] + filler[:5]
+    texts = {1: wrong_side} | {i: rng.choices(["aa", "bb", "cc", "dd", "ee"] + filler, k=rng.choice([0, 10, 60, 300])) for i in range(2, 60)}
+    items = {"1": "aa bb cc", "2": "cc ee", "3": "aa dd ee bb", "4": "dd dd", "5": "ee nowhere"}
+    got = by_id(decontaminate.decontaminate(spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string"), spark.createDataFrame(list(items.items()), "item_id string, text string")))
+    for i, t in texts.items():
+        near = {k for k, x in items.items() if any(set(x.split()) <= set(t[a : a + decontaminate.NEAR_SPAN]) for a in range(len(t)))}
+        exact = {k for k, x in items.items() if f" {x} " in f" {' '.join(t)} "}
+        assert (got[i]["near_items"], got[i]["items"]) == (sorted(near - exact), sorted(exact)), i
+    assert got[1]["near_items"] == ["1"]
+
+
 def test_token_counts_equal_the_library(docs, texts, empty):
     from tokenizers import Tokenizer
 
