@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -14,44 +13,51 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``.
+    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``, or the context's checkpoint folder.
 
-    Only where the session names none (single-machine runs, tests) is a temporary folder set.
+    Only on a local master (tests) is a temporary folder set where neither is; elsewhere that is an error.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    known = spark.sparkContext.getCheckpointDir()
-    if not known:
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
-        known = spark.sparkContext.getCheckpointDir()
-    return known.rstrip("/")
+        named = spark.sparkContext.getCheckpointDir()
+    return named.rstrip("/")
+
+
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Within it, Spark deletes the shuffle files of each query when the query ends."""
+    known = spark.conf.get(_TIDY, None)
+    spark.conf.set(_TIDY, "true")
+    try:
+        yield
+    finally:
+        if known is None:
+            spark.conf.unset(_TIDY)
+        else:
+            spark.conf.set(_TIDY, known)
 
 
 def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` once as Parquet into the shared folder and read it back.
 
-    Cuts the lineage: several readers do not repeat the work, and a lost executor costs a reread only.
+    Cuts the lineage: several readers do not repeat the work, and a lost executor costs a reread only.  The shuffle
+    files of the write go when it ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.parquet(path)
+    with tidy(spark):
+        df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished jobs now: it does so when the driver's garbage is collected.
-
-    Python hands dropped DataFrames back to the JVM about a second later, hence the pause.
-    """
-    gc.collect()
-    time.sleep(1.5)
-    spark.sparkContext._jvm.System.gc()
-
-
 def id_and_text(docs: DataFrame) -> DataFrame:
     """Only (doc_id, text): whatever else the table has, under any name, does not reach an operator."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -9,10 +9,12 @@ Three steps find the places where equal strings of ``length`` bytes start, witho
    of their strings may still be equal: only these few send their bytes.
 3. The suffixes that start in those bytes are put in order deep and shallow: multikey quicksort by the first bytes,
    then blind tries for the groups whose common prefix is longer.  Neighbours with a common prefix of ``length``
-   bytes are the equal strings.  A least hash with more segments than a task may hold is not sorted in one place: its
-   strings are aggregated to their smallest document, with map-side combine, and joined with it.
+   bytes are the equal strings.  A least hash with more segments than a task should sort is dealt by a longer prefix: its
+   suffixes go, once for each task and string, to the task of their first ``PREFIX`` bytes, and are sorted there.
 
-Finally each document's covered bytes are cut out.
+Finally each document's covered bytes are cut out.  Both joins with the texts use one and the same shuffle of them.
+
+Rows, not ids, are what spans belong to: a row is known by its doc_id and a hash of its id and text.
 """
 
 from __future__ import annotations
@@ -25,7 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, release, slices, stored, utf8
+from xxhash import xxh64_intdigest
+
+from .common import slices, stored, utf8
 
 LENGTH = 50
 K = 20
@@ -35,12 +39,18 @@ BATCH_BYTES = 2_000_000
 #: Multikey quicksort goes so many bytes deep, in keys of eight, before blind tries take over.
 SHALLOW = 24
 KEY = 8
-#: Segments of one least hash that a task sorts at most; the strings of larger groups meet one by one.
-GROUP_SEGMENTS = 20_000
-#: Packed bytes of a bucket that one task sorts, on average.
+#: Segments of one least hash that are sorted in one place; the suffixes of larger groups are dealt by their first PREFIX bytes.
+GROUP_SEGMENTS = 2_000
+PREFIX = 32
+#: Packed bytes of a bucket that one task sorts, on average; strings sorted together; strings a task holds before it deals them.
 BUCKET_BYTES = 20_000_000
+SORT_STRINGS = 200_000
+HELD_STRINGS = 300_000
+#: Text in a partition of the shuffled texts, on average.
+TEXT_BYTES = 32_000_000
 
-_SEGMENT = np.dtype([("least", "<u4"), ("body", "<u8"), ("doc", "<i8"), ("start", "<u4"), ("n", "<u2"), ("flags", "<u2")])
+_SEGMENT = np.dtype([("least", "<u4"), ("body", "<u8"), ("doc", "<i8"), ("row", "<u4"), ("start", "<u4"), ("n", "<u1"), ("flags", "<u1")])
+_PLACE = "doc long, row long, start long, n int"
 
 
 def _hash_grams(data: np.ndarray, k: int) -> np.ndarray:
@@ -108,7 +118,17 @@ def _packed(bucket: int, blob: bytes) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([blob], pa.binary())], ["bucket", "blob"])
 
 
-def dealt_segments(docs: DataFrame, buckets: int, length: int = LENGTH, k: int = K) -> DataFrame:
+def rows_of(docs: DataFrame, carry: list[str]) -> DataFrame:
+    """(doc, row, doc_id, text, the carried columns as a struct): doc and row, never null, tell a row from all with another text."""
+    rest = F.struct(*[F.col(f"`{c}`") for c in carry]) if carry else F.lit(None).cast("string")
+    doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    return docs.select(
+        F.coalesce(doc_id, F.lit(0)).cast("long").alias("doc"), F.xxhash64(doc_id.isNull(), doc_id, text).bitwiseAND(0xFFFFFFFF).alias("row"),
+        doc_id.alias("doc_id"), text.alias("text"), rest.alias("rest"),
+    )
+
+
+def dealt_segments(rows: DataFrame, buckets: int, length: int = LENGTH, k: int = K) -> DataFrame:
     """(bucket, blob): packed segments.
 
     flags 1: a repeat within its batch of a smaller document's segment, covered whatever the others say.  Only
@@ -116,11 +136,11 @@ def dealt_segments(docs: DataFrame, buckets: int, length: int = LENGTH, k: int =
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, BATCH_BYTES):
-            ids = np.array([-1 if x is None else x for x in batch.column(0).to_pylist()], np.int64)
-            of, start, n, least, body = segments(utf8(batch.column(1)), length, k)
+        for batch in slices(batches, BATCH_BYTES, 2):
+            ids, keys = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
+            of, start, n, least, body = segments(utf8(batch.column(2)), length, k)
             rows = np.zeros(len(of), _SEGMENT)
-            rows["doc"], rows["start"], rows["n"], rows["body"] = ids[of], start, n, body
+            rows["doc"], rows["row"], rows["start"], rows["n"], rows["body"] = ids[of], keys[of], start, n, body
             bucket = (least % np.uint64(buckets)).astype(np.int64)
             rows["least"] = (least // np.uint64(buckets)).astype(np.uint32)
             order = np.lexsort((rows["start"], rows["doc"], body, least))
@@ -136,11 +156,11 @@ def dealt_segments(docs: DataFrame, buckets: int, length: int = LENGTH, k: int =
                 if cuts[b] < cuts[b + 1]:
                     yield _packed(b, rows[cuts[b] : cuts[b + 1]].tobytes())
 
-    return id_and_text(docs).mapInArrow(run, "bucket int, blob binary")
+    return rows.where("doc_id is not null").select("doc", "row", "text").mapInArrow(run, "bucket int, blob binary")
 
 
 def _compared(dealt: DataFrame, buckets: int) -> DataFrame:
-    """(doc_id, start, n, least): segments to cover (least null), and segments whose bytes must be compared."""
+    """(doc, row, start, n, least): segments to cover (least null), and segments whose bytes must be compared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[bytes]] = {}
@@ -150,7 +170,7 @@ def _compared(dealt: DataFrame, buckets: int) -> DataFrame:
         for b in sorted(held):
             rows = np.frombuffer(b"".join(held.pop(b)), _SEGMENT)
             done = rows["flags"] > 0
-            yield _spans(rows[done], None)
+            yield _places(rows[done], None)
             rows = rows[~done]
             rows = rows[np.lexsort((rows["doc"], rows["body"], rows["least"]))]
             if not len(rows):
@@ -159,7 +179,7 @@ def _compared(dealt: DataFrame, buckets: int) -> DataFrame:
             new_class = new_least | np.r_[True, rows["body"][1:] != rows["body"][:-1]]
             first = rows["doc"][np.flatnonzero(new_class)][np.cumsum(new_class) - 1]
             covered = rows["doc"] > first
-            yield _spans(rows[covered], None)
+            yield _places(rows[covered], None)
             # the smallest document's segments of a class stay; they are compared where classes of several documents meet
             group = np.cumsum(new_least) - 1
             low = np.minimum.reduceat(rows["doc"], np.flatnonzero(new_least))
@@ -167,36 +187,47 @@ def _compared(dealt: DataFrame, buckets: int) -> DataFrame:
             classes = np.add.reduceat(new_class.astype(np.int64), np.flatnonzero(new_least))
             ask = ~covered & (classes > 1)[group] & (low < high)[group]
             chosen = rows[ask]
-            yield _spans(chosen, chosen["least"].astype(np.int64) * buckets + b)
+            yield _places(chosen, chosen["least"].astype(np.int64) * buckets + b)
 
-    return dealt.repartition(buckets, "bucket").mapInArrow(run, "doc_id long, start long, n int, least long")
+    return dealt.repartition(buckets, "bucket").mapInArrow(run, f"{_PLACE}, least long")
 
 
-def _spans(rows: np.ndarray, least: np.ndarray | None) -> pa.RecordBatch:
+def _places(rows: np.ndarray, least: np.ndarray | None) -> pa.RecordBatch:
     key = pa.nulls(len(rows), pa.int64()) if least is None else pa.array(least, pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(rows["doc"], pa.int64()), pa.array(rows["start"].astype(np.int64)), pa.array(rows["n"].astype(np.int32)), key], ["doc_id", "start", "n", "least"])
+    return pa.RecordBatch.from_arrays([pa.array(rows["doc"], pa.int64()), pa.array(rows["row"].astype(np.int64)), pa.array(rows["start"].astype(np.int64)), pa.array(rows["n"].astype(np.int32)), key], ["doc", "row", "start", "n", "least"])
 
 
-def multikey_quicksort(strings: list[bytes], items: list[int], depth: int, shallow: int = SHALLOW) -> Iterator[tuple[int, list[int]]]:
-    """Order ``items`` (indices into ``strings``) by the bytes from ``depth`` on.
+def multikey_quicksort(data: np.ndarray, at: np.ndarray, group: np.ndarray, shallow: int = SHALLOW) -> tuple[np.ndarray, np.ndarray]:
+    """Order the strings that begin at places ``at`` of ``data``, group by group, by their first ``shallow`` bytes.
 
-    Yields, in order, (common prefix known, items): single items, or groups equal in their first ``shallow`` bytes.
+    Three-way partitions by a pivot's next eight bytes, those of all groups in one pass: what is equal goes on eight
+    bytes deeper.  (order, class): the order of the strings, and, in that order, a number for each run of strings
+    that are equal in so many bytes.  ``group`` is ascending; ``data`` has eight spare bytes at its end.
     """
-    stack = [(items, depth)]
-    while stack:
-        group, at = stack.pop()
-        if len(group) == 1 or at >= shallow:
-            yield at, group
-            continue
-        end = at + KEY
-        pivot = strings[group[len(group) // 2]][at:end]
-        less, same, more = [], [], []
-        for i in group:
-            c = strings[i][at:end]
-            (same if c == pivot else less if c < pivot else more).append(i)
-        for part, d in ((more, at), (same, end), (less, at)):
-            if part:
-                stack.append((part, d))
+    words = np.ndarray((max(0, len(data) - KEY + 1),), ">u8", data, strides=(1,))
+    order = np.argsort(group, kind="stable")
+    new = np.r_[True, group[order][1:] != group[order][:-1]][: len(order)]
+    depth = np.zeros(len(order), np.int64)
+    live = np.arange(len(order))
+    while True:
+        part = np.cumsum(new[live]) - 1 if len(live) else live
+        sizes = np.bincount(part) if len(live) else part
+        keep = (sizes[part] > 1) & (depth[live] < shallow) if len(live) else live.astype(bool)
+        live = live[keep]
+        if not len(live):
+            break
+        item = order[live]
+        part = np.cumsum(new[live]) - 1
+        sizes = np.bincount(part)
+        key = words[at[item] + depth[live]].astype(np.uint64)
+        pivot = key[(np.cumsum(sizes) - sizes + sizes // 2)][part]
+        side = (key >= pivot).astype(np.int64) + (key > pivot)
+        by = np.argsort(part * 3 + side, kind="stable")
+        order[live] = item[by]
+        depth[live] = (depth[live] + KEY * (side == 1))[by]
+        moved = (part * 3 + side)[by]
+        new[live] = np.r_[True, moved[1:] != moved[:-1]]
+    return order, np.cumsum(new) - 1
 
 
 class BlindTrie:
@@ -252,141 +283,148 @@ class BlindTrie:
                 stack.extend(node[1][b] for b in sorted(node[1], reverse=True))
 
 
-def equal_strings(strings: list[bytes], shallow: int = SHALLOW) -> Iterator[list[int]]:
-    """Groups of equal strings (of one length), in order of the strings."""
-    for at, group in multikey_quicksort(strings, list(range(len(strings))), 0, shallow):
-        if len(group) == 1:
-            yield group
+def sorted_suffixes(data: bytes, at: np.ndarray, group: np.ndarray, length: int = LENGTH, shallow: int = SHALLOW) -> Iterator[list[int]]:
+    """Groups of equal strings of ``length`` bytes, in order of the strings, group by group."""
+    shallow = min(shallow, length // KEY * KEY)
+    order, run = multikey_quicksort(np.frombuffer(data + bytes(KEY), np.uint8), at, group, shallow)
+    cuts = np.flatnonzero(np.r_[True, run[1:] != run[:-1], True]) if len(run) else np.zeros(1, np.int64)
+    where = at.tolist()
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        items = order[a:b].tolist()
+        if b - a == 1:
+            yield items
             continue
-        trie = BlindTrie(strings, at)
-        for i in group:
+        strings = {i: data[where[i] : where[i] + length] for i in items}
+        trie = BlindTrie(strings, shallow)
+        for i in items:
             trie.insert(i)
         yield from trie.groups()
 
 
-def _met_strings(bodies: DataFrame, length: int) -> DataFrame:
-    """(doc_id, start, n): as the sorted suffixes, for groups of any size; each string is a row."""
-
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, BATCH_BYTES // length, 3):
-            ids, starts, strings = [], [], []
-            for doc, start, body in zip(*(batch.column(c).to_pylist() for c in (0, 1, 3))):
-                for i in range(len(body) - length + 1):
-                    ids.append(doc)
-                    starts.append(start + i)
-                    strings.append(body[i : i + length])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(starts, pa.int64()), pa.array(strings, pa.binary())], ["doc_id", "start", "string"])
-
-    strings = bodies.mapInArrow(split, "doc_id long, start long, string binary")
-    least = strings.groupBy("string").agg(F.min("doc_id").alias("first_doc"))
-    return strings.join(least, "string").where("doc_id > first_doc").select("doc_id", "start", F.lit(1).alias("n"))
+def _covered(held: list[tuple], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(doc, row, start, n): runs of strings that a smaller document has too; held: (doc, row, start, least, body), by least."""
+    doc, row, start = (np.array([h[c] for h in held], np.int64) for c in range(3))
+    sizes = np.array([len(h[4]) for h in held], np.int64)
+    count = sizes - length + 1
+    which = np.repeat(np.arange(len(held)), count)
+    turn = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
+    least = np.array([h[3] for h in held], np.int64)
+    group = np.cumsum(np.r_[True, least[1:] != least[:-1]]) - 1
+    gone = np.zeros(len(which), bool)
+    own = doc[which].tolist()
+    for items in sorted_suffixes(b"".join(h[4] for h in held), (np.cumsum(sizes) - sizes)[which] + turn, group[which], length):
+        if len(items) > 1:
+            low = min(own[i] for i in items)
+            gone[[i for i in items if own[i] > low]] = True
+    at = np.flatnonzero(gone)
+    begins = np.flatnonzero(np.r_[True, (which[at][1:] != which[at][:-1]) | (np.diff(at) > 1)]) if len(at) else at
+    first = at[begins]
+    return doc[which[first]], row[which[first]], start[which[first]] + turn[first], np.diff(np.r_[begins, len(at)])
+
+
+def _found(doc: np.ndarray, row: np.ndarray, start: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(row, pa.int64()), pa.array(start, pa.int64()), pa.array(n.astype(np.int32))], ["doc", "row", "start", "n"])
+
+
+def _met_suffixes(asked: DataFrame, texts: DataFrame, buckets: int, length: int, most: int) -> DataFrame:
+    """(doc, row, start, n): runs of strings in the asked segments that a smaller document has too."""
+    body = "doc long, row long, start long, least long, body binary"
+    names = ["doc", "row", "start", "least", "body"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+
+    def rows_as_batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(kinds)], names)
 
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[bytes, list[tuple]] = {}
+        holds = 0
 
-def _sorted_suffixes(asked: DataFrame, docs: DataFrame, buckets: int, length: int, most: int) -> DataFrame:
-    """(doc_id, start, n): runs of strings in the asked segments that a smaller document has too."""
+        def deal() -> pa.RecordBatch:
+            """Suffixes of large groups: the smallest document's go to the task of their prefix, others are covered (no body)."""
+            rows = []
+            for string, places in held.items():
+                low, least = min(p[0] for p in places), xxh64_intdigest(string[:PREFIX]) >> 1
+                rows.extend((*p, least, string if p[0] == low else None) for p in places)
+            held.clear()
+            return rows_as_batch(rows)
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, BATCH_BYTES):
-            ids, starts, sizes, keys, bodies = [], [], [], [], []
-            for doc, text, wanted in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), batch.column(2).to_pylist()):
+        for batch in slices(batches, BATCH_BYTES, 3):
+            rows = []
+            for doc, row, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), utf8(batch.column(3)), batch.column(5).to_pylist()):
                 for w in wanted:
-                    ids.append(doc)
-                    starts.append(w["start"])
-                    keys.append(w["least"])
-                    bodies.append(text[w["start"] : w["start"] + w["n"] + length - 1])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(starts, pa.int64()), pa.array(keys, pa.int64()), pa.array(bodies, pa.binary())], ["doc_id", "start", "least", "body"])
+                    start = w["start"]
+                    part = text[start : start + w["n"] + length - 1]
+                    if not w["large"]:
+                        rows.append((doc, row, start, w["least"], part))
+                        continue
+                    for i in range(w["n"]):
+                        held.setdefault(part[i : i + length], []).append((doc, row, start + i))
+                    holds += w["n"]
+                    if holds > HELD_STRINGS:
+                        yield deal()
+                        holds = 0
+            yield rows_as_batch(rows)
+        yield deal()
 
     def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        out: list[tuple[int, int, int]] = []
-
-        def close() -> None:
-            if len({h[0] for h in held}) > 1:
-                strings, own = [], []
-                for doc, start, body in held:
-                    for i in range(len(body) - length + 1):
-                        strings.append(body[i : i + length])
-                        own.append((doc, start + i))
-                covered = []
-                for group in equal_strings(strings) if len(set(strings)) < len(strings) else ():
-                    if len(group) > 1:
-                        least = min(own[i][0] for i in group)
-                        covered.extend(own[i] for i in group if own[i][0] > least)
-                covered.sort()
-                for doc, at in covered:
-                    if out and out[-1][0] == doc and out[-1][1] + out[-1][2] == at:
-                        out[-1] = (doc, out[-1][1], out[-1][2] + 1)
-                    else:
-                        out.append((doc, at, 1))
-            held.clear()
-
-        def flush() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.int32())], ["doc_id", "start", "n"])
-            out.clear()
-            return batch
-
-        now = None
+        strings = 0
         for batch in batches:
-            for doc, start, least, body in zip(*(batch.column(c).to_pylist() for c in range(4))):
-                if least != now:
-                    close()
-                    now = least
-                    if len(out) > 50_000:
-                        yield flush()
-                held.append((doc, start, body))
-        close()
-        yield flush()
-
-    def bodies(segments: DataFrame) -> DataFrame:
-        wanted = segments.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "least")).alias("wanted"))
-        return docs.join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(cut, "doc_id long, start long, least long, body binary")
-
-    def ordered(segments: DataFrame) -> DataFrame:
-        return bodies(segments).repartition(buckets, "least").sortWithinPartitions("least").mapInArrow(order, "doc_id long, start long, n int")
-
-    large = stored(asked.groupBy("least").count().where(F.col("count") > most).select("least"))
-    if large.isEmpty():
-        return ordered(asked)
-    held = asked.join(large, "least", "left_anti")
-    return ordered(held).unionByName(_met_strings(bodies(asked.join(large, "least", "left_semi")), length))
-
-
-def duplicate_spans(docs: DataFrame, length: int = LENGTH, k: int = K, most: int = GROUP_SEGMENTS) -> DataFrame:
-    """(doc_id, start, n): runs of n strings of ``length`` bytes, from byte ``start`` on, that a smaller document has too."""
-    docs = id_and_text(docs).where("doc_id is not null")
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shuffle = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(shuffle, 1 + int(1.6 * size) // BUCKET_BYTES)
-    found = stored(_compared(dealt_segments(docs, buckets, length, k), buckets))
-    release(docs.sparkSession)
-    covered = found.where("least is null").select("doc_id", "start", "n")
-    return covered.unionByName(_sorted_suffixes(found.where("least is not null"), docs, buckets, length, most))
-
-
-def suffix_dedup(docs: DataFrame, length: int = LENGTH, k: int = K, most: int = GROUP_SEGMENTS) -> DataFrame:
+            for h in zip(*(batch.column(c).to_pylist() for c in range(5))):
+                if h[4] is None:
+                    continue
+                if strings > SORT_STRINGS and h[3] != held[-1][3]:
+                    yield _found(*_covered(held, length))
+                    held, strings = [], 0
+                held.append(h)
+                strings += len(h[4]) - length + 1
+            alone = [h for h in zip(*(batch.column(c).to_pylist() for c in (0, 1, 2, 4))) if h[3] is None]
+            yield _found(*(np.array([h[c] for h in alone], np.int64) for c in range(3)), np.ones(len(alone), np.int64))
+        if held:
+            yield _found(*_covered(held, length))
+
+    large = stored(asked.groupBy("least").count().where(F.col("count") > most).select("least", F.lit(True).alias("large")))
+    known = asked.join(large, "least", "left").select("doc", "row", F.struct("start", "n", "least", F.coalesce("large", F.lit(False)).alias("large")).alias("w"))
+    wanted = known.groupBy("doc", "row").agg(F.collect_list("w").alias("wanted"))
+    bodies = texts.join(wanted, ["doc", "row"]).mapInArrow(cut, body)
+    return bodies.repartition(buckets, "least").sortWithinPartitions("least").mapInArrow(order, _PLACE)
+
+
+def _runs(rows: DataFrame, texts: DataFrame, buckets: int, length: int, k: int, most: int) -> DataFrame:
+    found = stored(_compared(dealt_segments(rows, buckets, length, k), buckets))
+    covered = found.where("least is null").select("doc", "row", "start", "n")
+    return covered.unionByName(_met_suffixes(found.where("least is not null"), texts, buckets, length, most))
+
+
+def suffix_dedup(docs: DataFrame, length: int = LENGTH, k: int = K, most: int = GROUP_SEGMENTS, carry: list[str] | None = None) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept (binary), kept_text, spans array<struct<start, stop>>.
 
-    kept_text is kept without the bytes that no longer form a character (a cut may lie within one).
+    kept_text is kept without the bytes that no longer form a character (a cut may lie within one).  ``carry``: columns
+    of ``docs`` that come along, as the fields of a struct ``rest``.
 
     A byte goes if it lies in a string of ``length`` bytes that also starts in a document with a smaller doc_id;
     overlaps count, all as judged on the input.  Null texts are empty.  Rows without doc_id keep everything and
-    cover nothing.  Rows that repeat a doc_id are one document: they do not cover each other.
+    cover nothing.  Rows that repeat a doc_id are one document: they do not cover each other, and each is cut where its own text is covered.
     """
     if k < 8 or k > length:
         raise ValueError("8 <= k <= length is needed")
-    runs = duplicate_spans(docs, length, k, most).groupBy(F.col("doc_id").alias("of")).agg(F.collect_list(F.struct("start", "n")).alias("runs"))
+    rows = rows_of(docs, carry or [])
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    texts = rows.repartition(max(least, 1 + size // TEXT_BYTES), "doc", "row")
+    runs = _runs(rows, texts, max(least, 1 + int(1.7 * size) // BUCKET_BYTES), length, k, most).groupBy("doc", "row").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))]
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_text", "spans"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, BATCH_BYTES):
+        for batch in slices(batches, BATCH_BYTES, 3):
             rows = []
-            for doc, text, found in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), batch.column(2).to_pylist()):
+            for doc, text, found in zip(batch.column(2).to_pylist(), utf8(batch.column(3)), batch.column(5).to_pylist()):
                 spans: list[list[int]] = []
-                for start, stop in sorted((r["start"], min(r["start"] + r["n"] + length - 1, len(text))) for r in found or ()):
+                for start, stop in sorted((r["start"], r["start"] + r["n"] + length - 1) for r in (found or () if doc is not None else ())):
                     if spans and start <= spans[-1][1]:
                         spans[-1][1] = max(spans[-1][1], stop)
-                    elif start < stop:
+                    else:
                         spans.append([start, stop])
                 kept, at = [], 0
                 for start, stop in spans:
@@ -395,7 +433,10 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, k: int = K, most: int =
                 kept.append(text[at:])
                 rest = b"".join(kept)
                 rows.append((doc, len(text), sum(b - a for a, b in spans), len(spans), rest, rest.decode("utf-8", "ignore"), [{"start": a, "stop": b} for a, b in spans]))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names)
+            found = [pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([*found, batch.column(4)], [*names, "rest"])
 
-    joined = id_and_text(docs).join(runs, F.col("doc_id") == F.col("of"), "left").select("doc_id", "text", "runs")
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_text string, spans array<struct<start: bigint, stop: bigint>>")
+    joined = texts.join(runs, ["doc", "row"], "left")
+    rest = joined.schema["rest"].dataType.simpleString()
+    cut = joined.mapInArrow(run, f"doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_text string, spans array<struct<start: bigint, stop: bigint>>, rest {rest}")
+    return cut if carry else cut.drop("rest")

@@ -115,12 +115,24 @@ def test_suffix_groups_of_any_size_give_the_same(docs):
     assert spans(0) == spans(2) == spans(suffixes.GROUP_SEGMENTS)
 
 
+def test_suffix_dedup_by_rows(spark):
+    """Rows that share an id keep their own spans and do not cover each other; rows without an id neither cover nor are covered."""
+    rng = random.Random(12)
+    one, two, three = (prose(rng, 40) for _ in range(3))
+    rows = [(None, one), (1, one), (1, two), (1, one), (2, two + three), (2, three), (0, "x"), (3, three)]
+    found = suffixes.suffix_dedup(spark.createDataFrame([(*r, n) for n, r in enumerate(rows)], "doc_id long, text string, n int"), carry=["n"])
+    got = {r["rest"]["n"]: (r["doc_id"], bytes(r["kept"]).decode()) for r in found.collect()}
+    assert got == {n: (i, "" if n == 7 else t[len(two) :] if n == 4 else t) for n, (i, t) in enumerate(rows)}
+
+
 def test_blind_tries_sort():
     rng = random.Random(2)
     strings = [bytes(rng.choice(b"ab") for _ in range(16)) for _ in range(400)] * 2
-    groups = list(suffixes.equal_strings(strings, 8))
-    assert [strings[g[0]] for g in groups] == sorted(set(strings))
-    assert sorted(i for g in groups for i in g) == list(range(800))
+    one = list(suffixes.sorted_suffixes(b"".join(strings), np.arange(800) * 16, np.zeros(800, int), 16, 8))
+    assert [strings[g[0]] for g in one] == sorted(set(strings))
+    assert sorted(i for g in one for i in g) == list(range(800))
+    two = list(suffixes.sorted_suffixes(b"".join(strings), np.arange(800) * 16, np.arange(800) // 400, 16, 8))
+    assert [strings[g[0]] for g in two] == sorted(set(strings[:400])) + sorted(set(strings[400:]))
 
 
 def test_paragraph_dedup_finds_copied_passages(docs, texts, empty):
