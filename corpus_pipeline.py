@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnwork.llm import decontaminate, quality, sentencepieces, simhash, suffixes
-from tarnwork.llm.common import release, shared_folder
+from tarnwork.llm.common import shared_folder, tidy
 from tarnwork.llm.queries import PIECE_VOCABULARY, table
 
 #: SQL does not express fingerprints of XXH64 values nor the pieces of a vocabulary file.
@@ -60,7 +60,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES[:-1]:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        with tidy(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
-        release(spark)
     return STAGES[-1][1](spark, docs, sf_dir)
