@@ -3,6 +3,9 @@
 A document is a bag of sentences.  A sentence's probability is logistic in its hashed words and word prefixes; the
 document's is their noisy-or, 1 - prod(1 - p).  Only documents have labels; the gradient of the document's likelihood
 reaches the sentences through the noisy-or, so the fitted model also tells which sentences offend.
+
+Fitting is distributed: in each step every task adds up the gradient of its documents' likelihood, whole texts, into one
+vector of fixed size; only these vectors reach the driver.
 """
 
 from __future__ import annotations
@@ -13,11 +16,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh32_intdigest
 
-from .common import id_and_text, utf8
+from .common import id_and_text, slices, stored, utf8
 
 BUCKETS = 1 << 18
 PREFIX_CHARS = (3, 4, 5)
@@ -25,11 +28,12 @@ PREFIX_CHARS = (3, 4, 5)
 LEAST_DOCS = 8
 #: The classifier is fitted on at most so many labelled documents of each class, taken by the hash of their id.
 TRAIN_PER_CLASS = 1000
-#: Of a training document at most so many sentences go into the fit (evenly spread); scoring takes them all.
-TRAIN_SENTENCES = 400
+#: Tasks of a step of the fit; each sends one vector to the driver.
+TASKS = 8
 EPOCHS = 60
 RATE = 0.15
 DECAY = 1e-5
+BATCH_BYTES = 4_000_000
 FOLDS = 5
 _TOKEN = re.compile(rb"[0-9a-z\x80-\xff]+|[.!?\n]")
 _ENDS = frozenset((b".", b"!", b"?", b"\n"))
@@ -97,75 +101,121 @@ def bags(docs: DataFrame) -> DataFrame:
     """(doc_id, features array<int>, lengths array<int>): hashed features of all sentences, and how many each sentence has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, BATCH_BYTES):
             features, lengths = [], []
             for text in utf8(batch.column(1)):
-                found = sentences(text)
-                if len(found) > TRAIN_SENTENCES:
-                    found = [found[i] for i in np.linspace(0, len(found) - 1, TRAIN_SENTENCES).astype(int)]
-                features.append([x for s in found for w in s for x in word_features(w)])
-                lengths.append([(1 + len(PREFIX_CHARS)) * len(s) for s in found])
+                found = sentences(text) or [[]]
+                features.append(np.fromiter((x for s in found for w in s for x in word_features(w)), np.int32))
+                lengths.append(np.array([(1 + len(PREFIX_CHARS)) * len(s) for s in found], np.int32))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(features, pa.list_(pa.int32())), pa.array(lengths, pa.list_(pa.int32()))], ["doc_id", "features", "lengths"])
 
     return id_and_text(docs).mapInArrow(run, "doc_id long, features array<int>, lengths array<int>")
 
 
-def fit(features: list[np.ndarray], lengths: list[np.ndarray], y: np.ndarray, weight: np.ndarray, epochs: int = EPOCHS) -> Model:
-    """Full-batch Adam on the noisy-or likelihood of weighted documents."""
-    w, bias = np.zeros(BUCKETS), -6.0
-    lengths = [x if len(x) else np.zeros(1, np.int32) for x in lengths]
-    if not len(y):
-        return Model(w, bias)
-    docs_of = np.zeros(BUCKETS, np.int32)
-    for f in features:
-        docs_of[np.unique(f)] += 1
-    known = docs_of >= LEAST_DOCS
-    x = np.concatenate(features).astype(np.int32)
-    n_sentences = sum(map(len, lengths))
-    of_sentence = np.repeat(np.arange(n_sentences, dtype=np.int32), np.concatenate(lengths))
-    of_sentence, x = of_sentence[known[x]], x[known[x]]
-    of_doc = np.repeat(np.arange(len(y), dtype=np.int32), [len(z) for z in lengths])
-    m, v, mb, vb = np.zeros(BUCKETS), np.zeros(BUCKETS), 0.0, 0.0
-    weight = weight / weight.sum()
+def gradient(x: np.ndarray, per_sentence: np.ndarray, per_doc: np.ndarray, y: np.ndarray, weight: np.ndarray, w: np.ndarray, bias: float) -> tuple[float, np.ndarray, float]:
+    """(loss, d loss / d w, d loss / d bias) of weighted bags: the negative log-likelihood of y under the noisy-or.
+
+    x: the features of all sentences of all documents; per_sentence: how many each sentence has; per_doc: how many sentences.
+    """
+    of_sentence = np.repeat(np.arange(len(per_sentence)), per_sentence)
+    of_doc = np.repeat(np.arange(len(y)), per_doc)
+    z = np.bincount(of_sentence, weights=w[x], minlength=len(per_sentence)) + bias
+    p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    none = np.bincount(of_doc, weights=np.log1p(-np.minimum(p, 1 - 1e-9)), minlength=len(y))
+    some = np.maximum(-np.expm1(none), 1e-9)
+    loss = float((weight * -np.where(y == 1, np.log(some), none)).sum())
+    slope = np.where(y == 1, -np.exp(none) / some, 1.0) * weight  # d(loss)/dz of a sentence is this times p
+    g = slope[of_doc] * p
+    return loss, np.bincount(x, weights=g[of_sentence], minlength=len(w)), float(g.sum())
+
+
+def _step(spark: SparkSession, rows: DataFrame, w: np.ndarray, bias: float) -> tuple[np.ndarray, float]:
+    """The gradient over all rows (features, lengths, y, weight): each task's vector, added up on the driver."""
+    now = spark.sparkContext.broadcast((w, bias))  # at most BUCKETS numbers
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w, bias = now.value
+        gw, gb = np.zeros(len(w)), 0.0
+        for batch in batches:
+            if batch.num_rows:
+                x, per_sentence = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in (0, 1))
+                per_doc = np.diff(batch.column(1).offsets.to_numpy())
+                _, a, b = gradient(x, per_sentence, per_doc, batch.column(2).to_numpy(), batch.column(3).to_numpy(), w, bias)
+                gw, gb = gw + a, gb + b
+        yield pa.RecordBatch.from_arrays([pa.array([gw.tobytes()], pa.binary()), pa.array([gb], pa.float64())], ["gw", "gb"])
+
+    parts = rows.mapInArrow(run, "gw binary, gb double").collect()  # one row a task
+    now.destroy()
+    return sum((np.frombuffer(r["gw"]) for r in parts), np.zeros(len(w))), sum(r["gb"] for r in parts)
+
+
+def fit(rows: DataFrame, epochs: int = EPOCHS) -> Model:
+    """Full-batch Adam on the noisy-or likelihood of weighted documents (features, lengths, y, weight).
+
+    Features of fewer documents than LEAST_DOCS get no weight.
+    """
+    spark = rows.sparkSession
+    counts = rows.select(F.explode(F.array_distinct("features")).alias("f")).groupBy("f").count().where(F.col("count") >= LEAST_DOCS)
+    known = np.sort(np.array([r["f"] for r in counts.select("f").collect()], np.int64))  # at most BUCKETS
+    number = np.full(BUCKETS, -1, np.int32)
+    number[known] = np.arange(len(known))
+    shared = spark.sparkContext.broadcast(number)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            features, lengths = [], []
+            for f, n in zip(batch.column(0), batch.column(1)):
+                x, n = shared.value[f.values.to_numpy()], n.values.to_numpy()
+                kept = np.bincount(np.repeat(np.arange(len(n)), n)[x >= 0], minlength=len(n))
+                features.append(x[x >= 0])
+                lengths.append(kept.astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(features, pa.list_(pa.int32())), pa.array(lengths, pa.list_(pa.int32())), batch.column(2), batch.column(3)], ["features", "lengths", "y", "weight"])
+
+    held = stored(rows.select("features", "lengths", "y", "weight").mapInArrow(run, "features array<int>, lengths array<int>, y int, weight double"))
+    w, bias = np.zeros(len(known)), -6.0
+    m, v, mb, vb = np.zeros(len(known)), np.zeros(len(known)), 0.0, 0.0
     for t in range(1, epochs + 1):
-        z = np.bincount(of_sentence, weights=w[x], minlength=n_sentences) + bias
-        p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        none = np.bincount(of_doc, weights=np.log1p(-np.minimum(p, 1 - 1e-9)), minlength=len(y))
-        some = np.maximum(-np.expm1(none), 1e-9)
-        slope = np.where(y == 1, -np.exp(none) / some, 1.0) * weight  # d(loss)/dz of a sentence is this times p
-        g = slope[of_doc] * p
-        gw = np.bincount(x, weights=g[of_sentence], minlength=BUCKETS) + DECAY * w
-        gb = g.sum()
+        gw, gb = _step(spark, held, w, bias)
+        gw = gw + DECAY * w
         m, v = 0.9 * m + 0.1 * gw, 0.99 * v + 0.01 * gw * gw
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
-        w -= RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8) * known
+        w = w - RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
         np.maximum(w, 0, out=w)  # words are evidence for toxicity or none, so that long sentences do not drown it
         bias -= RATE * (mb / (1 - 0.9**t)) / (np.sqrt(vb / (1 - 0.99**t)) + 1e-8)
-    return Model(w, float(bias))
+    weights = np.zeros(BUCKETS)
+    weights[known] = w
+    return Model(weights, float(bias))
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_CLASS, folds: int = FOLDS) -> Model:
     """Fit on labelled documents outside the held-out fold (crc32 of the id as text, modulo ``folds``, is 0).
 
-    At most ``per_class`` documents of each class, the first by the hash of their id; classes are weighted back to
-    their shares among all labelled rows.  Labels without doc_id or toxic are left out; of repeated ones the highest counts.
+    At most ``per_class`` documents of each class, the first by the hash of their id, with their whole texts; classes are
+    weighted back to their shares among all labelled rows.  Labels without doc_id or toxic are left out; of repeated ones
+    the highest counts.  Of rows that repeat a doc_id the first by the hash of the text is taken.  Without labels the
+    model has no weights.
     """
     truth = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).dropna().groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    truth = truth.where(F.crc32(F.col("doc_id").cast("string")) % folds != 0)
-    counts = {r["toxic"]: r["count"] for r in truth.where("toxic in (0, 1)").groupBy("toxic").count().collect()}
+    truth = truth.where((F.crc32(F.col("doc_id").cast("string")) % folds != 0) & F.col("toxic").isin(0, 1))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     picked = truth.where("toxic = 1").orderBy(*order).limit(per_class).unionByName(truth.where("toxic = 0").orderBy(*order).limit(per_class))
-    rows = bags(id_and_text(docs).join(F.broadcast(picked.select("doc_id")), "doc_id", "left_semi")).dropDuplicates(["doc_id"]).join(F.broadcast(picked), "doc_id").orderBy("doc_id").toPandas()
-    y = rows["toxic"].to_numpy(np.int64) if len(rows) else np.zeros(0, np.int64)
-    weight = np.array([counts[c] / max(1, (y == c).sum()) for c in y.tolist()], float)
-    return fit([np.asarray(f, np.int32) for f in rows["features"]], [np.asarray(n, np.int32) for n in rows["lengths"]], y, weight)
+    chosen = id_and_text(docs).join(F.broadcast(picked), "doc_id").select("doc_id", F.struct(F.xxhash64("text").alias("h"), "text", "toxic").alias("row"))
+    texts = chosen.groupBy("doc_id").agg(F.min("row").alias("row")).select("doc_id", "row.text", "row.toxic")
+    bagged = stored(bags(texts).join(picked, "doc_id").repartition(TASKS, "doc_id").sortWithinPartitions("doc_id"))
+    shares = truth.groupBy("toxic").agg(F.count("*").alias("labelled")).join(bagged.groupBy("toxic").agg(F.count("*").alias("taken")), "toxic").collect()  # two rows
+    if not shares:
+        return Model(np.zeros(BUCKETS), -6.0)
+    total = sum(r["labelled"] for r in shares)
+    weight = F.create_map(*[F.lit(x) for r in shares for x in (r["toxic"], r["labelled"] / r["taken"] / total)])[F.col("toxic")]
+    return fit(bagged.select("features", "lengths", F.col("toxic").alias("y"), weight.alias("weight")))
 
 
 def score_documents(docs: DataFrame, model: Model, locate_from: float = 0.5) -> DataFrame:
     """(doc_id, score, n_sentences, offending array<struct<sentence, start, end, p>>), one row for each row of ``docs``.
 
     offending: the sentences with a probability of ``locate_from`` or more, with their byte span in the lower-cased
-    UTF-8 text.  Null and empty texts are scored as one sentence without words.
+    UTF-8 text.  Null and empty texts are scored as one sentence without words.  Each row is scored by its own text, also
+    rows that repeat a doc_id or have none.
     """
     weights = docs.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.bias))  # fixed size
 
@@ -173,7 +223,7 @@ def score_documents(docs: DataFrame, model: Model, locate_from: float = 0.5) ->
         w, bias = weights.value
         fitted, memo = Model(w, bias), WordWeights(w)
         spans = pa.list_(pa.struct([("sentence", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("p", pa.float64())]))
-        for batch in batches:
+        for batch in slices(batches, BATCH_BYTES):
             scores, counts, offending = [], [], []
             for text in utf8(batch.column(1)):
                 score, p = fitted.score(text, memo)
