@@ -142,12 +142,18 @@ def format_conversations(events: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, _SEGMENT)
 
 
-def read_back(segments: DataFrame) -> DataFrame:
+def read_back(segments: DataFrame, in_order: bool = False) -> DataFrame:
     """Digests of conversations, read from ``formatted`` and the loss mask as format_conversations gives them.
 
     conv_id, n_turns, turns_sha256 (role, newline, text, newline of each turn), loss_chars, loss_sha256,
-    formatted_chars.  The digests run along; no conversation is held whole.
+    formatted_chars.  The digests run along; no conversation is held whole.  A conversation's rows may lie anywhere;
+    ``in_order``: they stand together and in order, as format_conversations leaves them, and need no shuffle.  Rows
+    without conv_id are one conversation.  A digest over a conversation's turns in order is one task's work, however
+    long the conversation; it takes the memory of one turn.
     """
+    if not in_order:
+        segments = segments.repartition("conv_id").sortWithinPartitions("conv_id", "position")
+    picked = segments.select("conv_id", "position", "role", "formatted", "loss_start", "loss_end")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: list[tuple] = []
@@ -159,7 +165,7 @@ def read_back(segments: DataFrame) -> DataFrame:
 
         for batch in batches:
             for conv, position, formatted, a, b in zip(*(batch.column(k).to_pylist() for k in (0, 1, 3, 4, 5))):
-                if position == 0:
+                if state is None or position == 0 or conv != state[0]:
                     close()
                     state = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
                 role, text = parse(formatted)
@@ -177,7 +183,7 @@ def read_back(segments: DataFrame) -> DataFrame:
         if done:
             yield _digests(done)
 
-    return segments.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return picked.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def _digests(rows: list[tuple]) -> pa.RecordBatch:
