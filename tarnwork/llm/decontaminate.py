@@ -94,13 +94,14 @@ def phrases(items: list[tuple[str, bytes]], numbers: dict[bytes, int], window: i
     return dict(by_window), by_item
 
 
-def search(index: DataFrame, by_window: dict[tuple, list[str]], by_item: dict[str, tuple], frequency: dict[int, int]) -> DataFrame:
+def search(index: DataFrame, by_window: dict[tuple, list[str]], by_item: dict[str, tuple], frequency: dict[int, int], spelt: list[bytes]) -> DataFrame:
     """One row for each document of the index: the words inside exact places, items found exactly, items only near.
 
     Works on one block of the index at a time, without a shuffle.
     """
     plan = [(sorted(((frequency.get(t, 0), t, k) for k, t in enumerate(ws))), len(ws), items) for ws, items in by_window.items()]
-    rare = {item: [t for _, t in sorted((frequency.get(t, 0), t) for t in set(ws))[:NEAR_TERMS]] for item, ws in by_item.items()}
+    rarest = {item: sorted((frequency[t], spelt[t], t) for t in set(ws) if t in frequency)[:NEAR_TERMS] for item, ws in by_item.items()}
+    rare = {item: [t for _, _, t in found] for item, found in rarest.items() if found}
     query = index.sparkSession.sparkContext.broadcast(([p for p in plan if p[0][0][0]], rare))  # of one block of items
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,8 +190,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, block
 
     A document word is hit inside any place where a window of ``window`` words of an item occurs (items of fewer
     words are one window; items without words have none).  contaminated: hits are a twentieth of the words or more.
-    Null texts have no words.  near_items: items not found exactly whose NEAR_TERMS
-    rarest words all lie within NEAR_SPAN words of the document, in any order.
+    Null texts have no words.  near_items: items not found exactly whose NEAR_TERMS rarest words (of those that any
+    document has; of equally rare ones the first by bytes) all lie within NEAR_SPAN words of the document, in any order.
+    Nothing depends on doc_id: each row is judged by its own text, also rows that repeat an id or have none.
     """
     queries = items.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     size = queries.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -221,7 +223,7 @@ def _hits(docs: DataFrame, queries: DataFrame, window: int, block_bytes: int) ->
     index = stored(build_index(docs, numbers, block_bytes))
     pairs = F.explode(F.arrays_zip("terms", "counts")).alias("p")
     frequency = {r["t"]: r["n"] for r in index.select(pairs).groupBy(F.col("p.terms").alias("t")).agg(F.sum("p.counts").alias("n")).collect()}
-    return search(index, *phrases(block, numbers, window), frequency)
+    return search(index, *phrases(block, numbers, window), frequency, list(numbers))
 
 
 def _judged(hits: DataFrame) -> DataFrame:

@@ -170,7 +170,7 @@ def candidate_links(docs: DataFrame, buckets: int, bands: int) -> DataFrame:
             a, c = np.r_[unit[links], unit[repeated]], np.r_[least[links], unit[repeated]]
             yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(c.view(np.int64))], ["a", "b"])
 
-    return id_and_text(docs).mapInArrow(deal, "bucket int, blob binary").repartition(buckets, "bucket").mapInArrow(meet, "a long, b long").distinct()
+    return id_and_text(docs).mapInArrow(deal, "bucket int, blob binary").repartitionById(buckets, F.col("bucket")).mapInArrow(meet, "a long, b long").distinct()
 
 
 def places(docs: DataFrame) -> DataFrame:

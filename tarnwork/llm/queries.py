@@ -21,7 +21,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", F.array_join("near_items", ",").alias("near_items"))
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,7 +38,7 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = F.lit("\\### Assistant: </turn> ok").alias("text")
     extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said)
-    return chat.read_back(chat.format_conversations(chat.message_events(turns.unionByName(extra))))
+    return chat.read_back(chat.format_conversations(chat.message_events(turns.unionByName(extra))), in_order=True)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,7 +84,36 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
+_PHRASES = ", ".join(f"({[*p.split()]}, '{label}')" for p, label in licenses.PHRASES.items())
+_TEMPLATES = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in licenses.TEMPLATES.items())
+
 ORACLE_SQL: dict[str, str] = {
+    "op9_license_scan": f"""
+WITH docs AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+phrases(p, label) AS (VALUES {_PHRASES}),
+stands AS (SELECT doc_id, i - 1 AS spot, label FROM docs, phrases, unnest(range(1, greatest(len(w) - len(p) + 1, 0) + 1)) AS t(i) WHERE w[i:i + len(p) - 1] = p),
+base AS (SELECT doc_id, count(*) AS n_base, min(spot) AS first_word, max(spot) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM stands GROUP BY doc_id),
+texts(template, text) AS (VALUES {_TEMPLATES}),
+templates AS (SELECT template, {_WORDS} AS tw FROM texts),
+tg AS (SELECT template, i AS place, tw[i:i + 4] AS gram FROM templates, unnest(range(1, len(tw) - 3)) AS t(i)),
+met AS (
+  SELECT doc_id, template, pos, place, pos - place AS diagonal FROM (SELECT doc_id, i AS pos, w[i:i + 4] AS gram FROM docs, unnest(range(1, greatest(len(w) - 4, 0) + 1)) AS t(i)) JOIN tg USING (gram)
+),
+marked AS (SELECT doc_id, template, diagonal, CASE WHEN diagonal - lag(diagonal) OVER o <= 4 THEN 0 ELSE 1 END AS new FROM (SELECT DISTINCT doc_id, template, diagonal FROM met) WINDOW o AS (PARTITION BY doc_id, template ORDER BY diagonal)),
+banded AS (SELECT doc_id, template, diagonal, sum(new) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS band FROM marked),
+spread AS (SELECT DISTINCT doc_id, template, band, pos + j AS p, place + j AS q FROM met JOIN banded USING (doc_id, template, diagonal), unnest(range(0, 5)) AS t(j)),
+cut AS (SELECT doc_id, template, band, p, CASE WHEN p - lag(p) OVER o <= 5 THEN 0 ELSE 1 END AS new FROM (SELECT DISTINCT doc_id, template, band, p FROM spread) WINDOW o AS (PARTITION BY doc_id, template, band ORDER BY p)),
+runs AS (SELECT doc_id, template, band, p, sum(new) OVER (PARTITION BY doc_id, template, band ORDER BY p) AS run FROM cut),
+spans AS (SELECT doc_id, template, band, run FROM runs GROUP BY doc_id, template, band, run HAVING count(*) >= 10),
+covered AS (
+  SELECT doc_id, template, count(DISTINCT q) / max(len(tw)) AS coverage FROM spans JOIN runs USING (doc_id, template, band, run) JOIN spread USING (doc_id, template, band, p) JOIN templates USING (template)
+  GROUP BY doc_id, template
+),
+labelled AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM stands UNION ALL SELECT doc_id, template FROM covered WHERE coverage >= 0.5) GROUP BY doc_id),
+best AS (SELECT doc_id, max(coverage) AS coverage FROM covered GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+  greatest(coalesce(coverage, 0.0), CASE WHEN n_base > 0 THEN 0.5 ELSE 0.0 END) AS score
+FROM docs d LEFT JOIN base USING (doc_id) LEFT JOIN labelled USING (doc_id) LEFT JOIN best USING (doc_id)""",
     "op1_decontaminate": f"""
 WITH docs AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 items AS (SELECT CAST(item_id AS VARCHAR) AS item_id, {_WORDS} AS w FROM benchmark),
@@ -98,10 +127,25 @@ grams AS (
 ),
 hits AS (SELECT g.doc_id, g.i, g.n, x.item_id FROM grams g JOIN windows x ON g.n = x.n AND g.gram = x.gram),
 places AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY doc_id),
-found AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM hits) GROUP BY doc_id)
+found AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM hits) GROUP BY doc_id),
+said AS (SELECT doc_id, i, w[i] AS word FROM docs, unnest(range(1, len(w) + 1)) AS t(i)),
+common AS (SELECT word, count(*) AS n FROM said GROUP BY word),
+rarest AS (
+  SELECT item_id, word, row_number() OVER (PARTITION BY item_id ORDER BY n, encode(word)) AS r FROM (SELECT DISTINCT item_id, unnest(w) AS word FROM items) JOIN common USING (word)
+),
+terms AS (SELECT item_id, word, count(*) OVER (PARTITION BY item_id) AS n_terms FROM rarest WHERE r <= 4),
+places_of AS (SELECT doc_id, item_id, i, word, n_terms FROM terms JOIN said USING (word)),
+close AS (
+  SELECT a.doc_id, a.item_id FROM places_of a JOIN places_of b ON a.doc_id = b.doc_id AND a.item_id = b.item_id AND b.i > a.i - 26 AND b.i <= a.i
+  GROUP BY a.doc_id, a.item_id, a.i HAVING count(DISTINCT b.word) = max(a.n_terms)
+),
+near AS (
+  SELECT doc_id, string_agg(item_id, ',' ORDER BY item_id) AS near_items FROM (SELECT DISTINCT doc_id, item_id FROM close) ANTI JOIN hits USING (doc_id, item_id) GROUP BY doc_id
+)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
-  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM docs d LEFT JOIN places USING (doc_id) LEFT JOIN found USING (doc_id)""",
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated,
+  coalesce(near_items, '') AS near_items
+FROM docs d LEFT JOIN places USING (doc_id) LEFT JOIN found USING (doc_id) LEFT JOIN near USING (doc_id)""",
     "op4_chat_format": r"""
 WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

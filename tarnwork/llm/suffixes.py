@@ -189,7 +189,7 @@ def _compared(dealt: DataFrame, buckets: int) -> DataFrame:
             chosen = rows[ask]
             yield _places(chosen, chosen["least"].astype(np.int64) * buckets + b)
 
-    return dealt.repartition(buckets, "bucket").mapInArrow(run, f"{_PLACE}, least long")
+    return dealt.repartitionById(buckets, F.col("bucket")).mapInArrow(run, f"{_PLACE}, least long")
 
 
 def _places(rows: np.ndarray, least: np.ndarray | None) -> pa.RecordBatch:
