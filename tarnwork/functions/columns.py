@@ -25,12 +25,6 @@ def nearest_rank(column: str, q: float) -> Column:
     return F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY {column})")
 
 
-def floor_index(column: str, q: float) -> Column:
-    """The value at index floor(n * q) from 0, the last at most."""
-    values = F.array_sort(F.collect_list(column))
-    return F.element_at(values, F.least(F.floor(F.size(values) * F.lit(q)) + 1, F.size(values)).cast("int"))
-
-
 def refused_below(value: Column, n: Column, least: int) -> Column:
     """NULL where there are too few values for the statistic."""
     return F.when(n >= least, value)
@@ -42,6 +36,14 @@ def word_set(text: Column, longer_than: int = 2) -> Column:
     return F.array_distinct(F.filter(words, lambda w: F.length(w) > longer_than))
 
 
+def title_words(text: Column, longer_than: int, without: list[str] | None = None, joined: bool = False) -> Column:
+    """Distinct lower-case words of any alphabet with more than ``longer_than`` characters; joined: other signs vanish, so that "co-op" is one word."""
+    lower = F.lower(F.coalesce(text, F.lit("")))
+    words = F.split(F.regexp_replace(lower, r"[^\p{L}\p{N}_\s]", ""), r"\s+") if joined else F.regexp_extract_all(lower, F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+    kept = F.filter(words, lambda w: (F.length(w) > longer_than) & ~w.isin(without)) if without else F.filter(words, lambda w: F.length(w) > longer_than)
+    return F.array_distinct(kept)
+
+
 def jaccard(a: Column, b: Column) -> Column:
     both = F.size(F.array_intersect(a, b))
     either = F.size(F.array_union(a, b))

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.wording import normal_finding
 from .relational import first_wins, latest_wins, top_k_per
 
 #: The least parser quality and page coverage of the two gates.
@@ -46,9 +47,42 @@ def best_per_key(df: DataFrame, key: str, score: str, tie: str, most: int) -> Da
 
 
 def task_fingerprint(*parts: Column) -> Column:
-    """16 hex digits of the SHA-1 of the parts' first 220 normalised characters."""
-    joined = F.concat_ws(" ", *parts)
-    return F.substring(F.sha1(F.substring(F.trim(F.regexp_replace(F.lower(joined), "[^a-z0-9]+", " ")), 1, 220)), 1, 16)
+    """16 hex digits of the SHA-1 of the first 220 characters of the parts' normal form (without stopwords); empty parts do not count."""
+    joined = F.concat_ws(" ", *[F.nullif(p, F.lit("")) for p in parts])
+    return F.substring(F.sha1(F.substring(normal_finding(joined), 1, 220)), 1, 16)
+
+
+#: How severe a task is.
+SEVERITY_RANK = {"critical": 4, "major": 3, "minor": 2, "suggestion": 1}
+
+
+def severity_rank(severity: Column) -> Column:
+    return F.coalesce(F.create_map(*[F.lit(x) for kv in SEVERITY_RANK.items() for x in kv])[F.lower(severity)], F.lit(0))
+
+
+def strength(severity: Column, page: Column, action: Column, order: Column) -> Column:
+    """What the stronger of two tasks has more of: severity, then a known page, then the longer action, then the earlier place."""
+    return F.struct(severity_rank(severity).alias("severity"), page.isNotNull().alias("anchored"), F.length(F.coalesce(action, F.lit(""))).alias("length"), (-order).alias("order"))
+
+
+def merge_anchor_collisions(tasks: DataFrame, order: str) -> DataFrame:
+    """Tasks (order, anchor, problem, severity, page, action, protected) of which those with the same normal anchor become one.
+
+    The stronger task stays (strength over the tasks as they came); the others' problems, in order, that its action does
+    not name are its ``points``; ``duplicates`` counts them with what was merged.  Protected tasks, and tasks whose anchor
+    has fewer than four telling words, stand alone.
+    """
+    anchor = normal_finding(F.col("anchor"))
+    alone = F.col("protected") | (F.size(F.split(anchor, " ")) < 4) | (anchor == "")
+    key = F.when(alone, F.concat(F.lit("#"), F.col(order).cast("string"))).otherwise(F.sha2(anchor, 256))
+    keyed = tasks.withColumns({"_key": key, "_power": strength(F.col("severity"), F.col("page"), F.col("action"), F.col(order))})
+    best = keyed.groupBy("_key").agg(F.max("_power").alias("_best"), F.count("*").alias("_n"))
+    marked = keyed.join(best, "_key").withColumn("_stays", F.col("_power") == F.col("_best"))
+    kept = marked.where("_stays")
+    other = marked.where("NOT _stays AND trim(coalesce(problem, '')) <> ''").select("_key", F.col(order).alias("_o"), F.trim("problem").alias("_p"))
+    named = other.join(kept.select("_key", F.coalesce("action", F.lit("")).alias("_a")), "_key").where(~F.contains(F.col("_a"), F.col("_p")))
+    points = named.groupBy("_key", "_p").agg(F.min("_o").alias("_o")).groupBy("_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("_o", "_p"))), lambda x: x["_p"]).alias("points"))
+    return kept.join(points, "_key", "left").select(*tasks.columns, (F.col("_n") - 1).alias("duplicates"), F.coalesce("points", F.expr("cast(array() as array<string>)")).alias("points"))
 
 
 def unexpired(df: DataFrame, written: str, ttl_seconds: float, now: Column) -> DataFrame:

@@ -41,3 +41,35 @@ def offset_page(df: DataFrame, order: list[Column], offset: int, limit: int) ->
     total = df.agg(F.count("*").alias("total"))
     page = df.orderBy(*order).offset(offset).limit(limit)
     return page.join(F.broadcast(total)).withColumn("has_more", F.lit(offset + limit) < F.col("total"))  # one row
+
+
+def running_counts(df: DataFrame, column: str, parts: int = 64) -> DataFrame:
+    """(value, rows, before): rows of each distinct value of a column, and rows below it.  NULL values do not count.
+
+    The values are cut into ranges at estimated quantiles; the ranges' totals are a table of ``parts`` rows at most, and
+    within a range a window adds up, so no task sorts all values.
+    """
+    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("rows"))
+    bounds = counts.agg(F.percentile_approx("value", [i / parts for i in range(1, parts)]).alias("_bounds"))
+    ranged = counts.join(F.broadcast(bounds)).withColumn("_range", F.size(F.filter("_bounds", lambda b: b < F.col("value")))).drop("_bounds")  # one row
+    totals = ranged.groupBy("_range").agg(F.sum("rows").alias("_total"))
+    below = totals.select("_range", F.coalesce(F.sum("_total").over(Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_below"))
+    within = F.coalesce(F.sum("rows").over(Window.partitionBy("_range").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return ranged.withColumn("_within", within).join(F.broadcast(below), "_range").select("value", "rows", (F.col("_below") + F.col("_within")).alias("before"))  # at most ``parts`` rows
+
+
+def mean_ranks(df: DataFrame, column: str, name: str) -> DataFrame:
+    """(column, name): the mean rank, from 1, of the rows with each value."""
+    return running_counts(df, column).select(F.col("value").alias(column), (F.col("before") + (F.col("rows") + 1) / 2).alias(name))
+
+
+def index_quantiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """(keys, one column a share): the value at index floor(n * share) from 0, the last at most, of each key's sorted values.
+
+    From counts of distinct values, combined before the shuffle; no key's rows are gathered in one row.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("k"))
+    upto = F.sum("k").over(Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    ranked = counts.withColumn("upto", upto).withColumn("n", F.sum("k").over(Window.partitionBy(*keys)))
+    at = lambda q: F.least(F.floor(F.col("n") * F.lit(q)), F.col("n") - 1)
+    return ranked.groupBy(*keys).agg(*[F.min(F.when(F.col("upto") > at(q), F.col(value))).alias(c) for c, q in shares.items()])

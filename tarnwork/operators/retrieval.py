@@ -170,6 +170,45 @@ def keyword_search(docs: DataFrame, terms: list[str], every: bool, k: int) -> Da
     return found.select("doc_id", F.round(score, 9).alias("score")).orderBy(F.desc("score"), "doc_id").limit(k)
 
 
+def text_search(queries: DataFrame, docs: DataFrame, k: int, every: bool = False) -> DataFrame:
+    """(query_id, doc_id, score, rank): the k best documents of each query text, with any or with all (``every``) of its words.
+
+    A word that occurs n times counts (1 + 1/4 + ... + 1/n^2) / 1.64493406685, a tenth of their sum is shared over the
+    query's words, divided by the binary logarithm of the document's length plus one, and mapped by x / (x + 1).  Query
+    words and document words meet in an equi-join; counts are combined before the shuffle.  A query without words finds nothing.
+    """
+    words = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
+    wanted = queries.select("query_id", F.array_distinct(words).alias("w")).where(F.size("w") > 0).select("query_id", F.size("w").alias("n_terms"), F.explode("w").alias("word"))
+    said = docs.select("doc_id", words.alias("w")).select("doc_id", F.size("w").alias("n_words"), F.explode("w").alias("word"))
+    counts = said.groupBy("doc_id", "n_words", "word").agg(F.count("*").cast("int").alias("n"))
+    squares = F.aggregate(F.sequence(F.lit(1), F.col("n")), F.lit(0.0), lambda a, j: a + 1 / (j * j))
+    met = counts.join(wanted, "word").groupBy("query_id", "doc_id", "n_words", "n_terms").agg(F.sum(squares).alias("s"), F.count("*").alias("kinds"))
+    if every:
+        met = met.where("kinds = n_terms")
+    raw = F.col("s") * 0.1 / 1.64493406685 / F.col("n_terms") / (F.log(F.col("n_words") + 1.0) / F.log(F.lit(2.0)))
+    return top_k_per(met.select("query_id", "doc_id", F.round(raw / (raw + 1), 9).alias("score")), ["query_id"], [F.desc("score"), F.asc("doc_id")], k)
+
+
+def leg_health(legs: dict[str, DataFrame], queries: DataFrame) -> DataFrame:
+    """(leg, queries, answered, rows): how many queries each leg of a fusion answered; a leg that answered none is ill."""
+    asked = queries.select("query_id").distinct()
+    parts = []
+    for name, leg in legs.items():
+        found = leg.groupBy("query_id").agg(F.count("*").alias("n"))
+        parts.append(asked.join(found, "query_id", "left").agg(F.lit(name).alias("leg"), F.count("*").alias("queries"), F.count("n").alias("answered"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")))
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    return every
+
+
+def separation_gap(relevant: tuple[Column, Column], irrelevant: tuple[Column, Column]) -> tuple[Column, Column, Column]:
+    """Gap of the means, pooled deviation and the gap in deviations, of (mean, deviation) pairs; NULL where one is not known."""
+    gap = relevant[0] - irrelevant[0]
+    pooled = F.sqrt((relevant[1] * relevant[1] + irrelevant[1] * irrelevant[1]) / 2)
+    return gap, pooled, F.when(pooled > 0, gap / pooled)
+
+
 def weighted_fusion(legs: list[tuple[DataFrame, float]]) -> DataFrame:
     """(query_id, doc_id, score): weighted sum of the legs, each scaled to its query's best; a missing leg adds 0."""
     parts = []

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import floor_index, nearest_rank, refused_below, rounded, wilson
-from ..operators import calibration, traces
-from ..operators.relational import first_wins, latest_wins, offset_page, status_filter, top_k_per
+from ..functions.columns import nearest_rank, refused_below, rounded, wilson
+from ..operators import calibration, gates, traces
+from ..operators.relational import first_wins, index_quantiles, latest_wins, mean_ranks, offset_page, status_filter, top_k_per
 from ..sources.tables import table
 from .registry import query
 
@@ -70,7 +70,7 @@ def node_latency_refusing(spark: SparkSession, d: str) -> DataFrame:
 
 @query("WITH a AS (SELECT o_custkey, list_sort(list(o_totalprice)) AS v FROM orders GROUP BY o_custkey) SELECT o_custkey, v[least(CAST(floor(len(v) * 0.9) AS INT) + 1, len(v))] AS p90, v[least(CAST(floor(len(v) * 0.95) AS INT) + 1, len(v))] AS p95 FROM a")
 def percentile_floor_index(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "orders").groupBy("o_custkey").agg(floor_index("o_totalprice", 0.9).alias("p90"), floor_index("o_totalprice", 0.95).alias("p95"))
+    return index_quantiles(table(spark, d, "orders"), ["o_custkey"], "o_totalprice", {"p90": 0.9, "p95": 0.95})
 
 
 @query("SELECT event_type, round(quantile_cont(value, 0.025), 6) AS low, round(quantile_cont(value, 0.5), 6) AS mid, round(quantile_cont(value, 0.975), 6) AS high FROM events GROUP BY event_type")
@@ -163,16 +163,11 @@ def spread(spark: SparkSession, d: str) -> DataFrame:
 r AS (SELECT (rank() OVER (ORDER BY c_acctbal) + rank() OVER (ORDER BY c_acctbal) + (SELECT count(*) FROM c x WHERE x.c_acctbal = c.c_acctbal) - 1) / 2.0 AS a, (2 * rank() OVER (ORDER BY n) + count(*) OVER (PARTITION BY n) - 1) / 2.0 AS b FROM c)
 SELECT count(*) AS n, round(corr(a, b), 6) AS rho FROM r""")
 def spearman(spark: SparkSession, d: str) -> DataFrame:
-    """Rank correlation; ties get their mean rank.  Ranks come from counts of distinct values, so no task sorts all rows."""
+    """Rank correlation; ties get their mean rank.  Ranks come from counts of distinct values, added up range by range."""
     o = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"))
     rows = table(spark, d, "customer").join(o, "c_custkey", "left").select("c_acctbal", F.coalesce("n", F.lit(0)).alias("n"))
 
-    def mean_rank(column: str, name: str) -> DataFrame:
-        counts = rows.groupBy(column).agg(F.count("*").alias("k"))
-        before = F.coalesce(F.sum("k").over(Window.orderBy(column).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        return counts.select(column, (before + (F.col("k") + 1) / 2).alias(name))
-
-    ranked = rows.join(mean_rank("c_acctbal", "a"), "c_acctbal").join(mean_rank("n", "b"), "n")
+    ranked = rows.join(mean_ranks(rows, "c_acctbal", "a"), "c_acctbal").join(mean_ranks(rows, "n", "b"), "n")
     return ranked.agg(F.count("*").alias("n"), rounded(F.corr("a", "b")).alias("rho"))
 
 
@@ -262,19 +257,35 @@ def first_per_order(spark: SparkSession, d: str) -> DataFrame:
     return first_wins(table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_shipdate", "l_linenumber"), ["l_orderkey"], ["l_shipdate", "l_linenumber", "l_partkey"]).select("l_orderkey", "l_partkey", "l_shipdate")
 
 
-@query("""WITH r AS (SELECT o_custkey, o_orderkey, o_orderdate, o_totalprice AS v, max(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM orders)
-SELECT o_custkey, o_orderkey, best, CASE WHEN best IS NULL THEN 'baseline' WHEN v < best * 0.95 THEN 'regressed' WHEN v > best THEN 'improved' ELSE 'held' END AS verdict FROM r""")
+_MEASURED = """m AS (SELECT c_mktsegment AS sink, o_orderdate AS day, o_orderpriority AS ident, CAST(count(*) AS DOUBLE) AS n, round(avg(o_totalprice), 4) AS mean, CASE WHEN min(o_orderstatus) <> 'P' THEN round(min(o_totalprice), 4) END AS low
+  FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY ALL),
+l AS (SELECT sink, day, ident, 'n' AS metric, n AS value FROM m UNION ALL SELECT sink, day, ident, 'mean', mean FROM m UNION ALL SELECT sink, day, ident, 'least', low FROM m WHERE low IS NOT NULL)"""
+
+
+@query(f"""WITH {_MEASURED}, newest AS (SELECT l.* FROM l JOIN (SELECT sink, max(day) AS day FROM l GROUP BY sink) USING (sink, day)),
+earlier AS (SELECT n.sink, n.ident, max(l.day) AS day FROM newest n JOIN l ON l.sink = n.sink AND l.ident = n.ident AND l.day < n.day GROUP BY ALL)
+SELECT n.sink, n.ident AS identity, n.metric, b.value AS baseline, n.value, CASE WHEN e.day IS NULL THEN 'new' WHEN b.value IS NULL THEN 'no_baseline'
+  WHEN CASE n.metric WHEN 'n' THEN b.value - n.value > 1 WHEN 'mean' THEN n.value - b.value > 0.1 * abs(b.value) ELSE n.value - b.value > 50000 END THEN 'violation' ELSE 'ok' END AS verdict
+FROM newest n LEFT JOIN earlier e USING (sink, ident) LEFT JOIN l b ON b.sink = n.sink AND b.ident = n.ident AND b.metric = n.metric AND b.day = e.day""")
 def regression_gate(spark: SparkSession, d: str) -> DataFrame:
-    """Each run against the best before it, with a tolerance of 5 %."""
-    best = F.max("o_totalprice").over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey").rowsBetween(Window.unboundedPreceding, -1))
-    v = F.col("o_totalprice")
-    rows = table(spark, d, "orders").withColumn("best", best)
-    return rows.select("o_custkey", "o_orderkey", "best", F.when(F.col("best").isNull(), "baseline").when(v < F.col("best") * 0.95, "regressed").when(v > F.col("best"), "improved").otherwise("held").alias("verdict"))
+    """Segments as sinks, days as records, priorities as identities: the newest record's metrics against the last of the same identity."""
+    o = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("c_custkey") == F.col("o_custkey"))
+    m = o.groupBy(F.col("c_mktsegment").alias("sink"), F.col("o_orderdate").alias("at"), F.col("o_orderpriority").alias("identity")).agg(
+        F.count("*").cast("double").alias("n"), rounded(F.avg("o_totalprice"), 4).alias("mean"), F.when(F.min("o_orderstatus") != "P", rounded(F.min("o_totalprice"), 4)).alias("least"))
+    long = m.unpivot(["sink", "at", "identity"], ["n", "mean", "least"], "metric", "value").where("value IS NOT NULL")
+    return gates.metric_regression(long, {"n": ("down", 1.0, False), "mean": ("up", 0.1, True), "least": ("up", 50000.0, False)})
 
 
-@query("SELECT o_orderpriority, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders) WHERE r = 1")
+@query("""WITH r AS (SELECT o_custkey AS cell, o_orderkey AS run, o_totalprice / 100000 AS overall, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS age, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS place FROM orders),
+h AS (SELECT cell, max(overall) AS best FROM r WHERE age > 1 GROUP BY cell), f AS (SELECT cell, arg_min(run, place) AS best_run FROM r JOIN h USING (cell) WHERE age > 1 AND overall = best GROUP BY cell)
+SELECT cell, round(best, 6) AS best, best_run, round(overall, 6) AS now, round(best - overall, 6) AS fell, best - overall > 0.5 AS failed FROM r JOIN h USING (cell) JOIN f USING (cell) WHERE age = 1""")
 def best_ever(spark: SparkSession, d: str) -> DataFrame:
-    return top_k_per(table(spark, d, "orders").where(~F.isnan("o_totalprice")), ["o_orderpriority"], [F.desc("o_totalprice"), F.asc("o_orderkey")], 1).select("o_orderpriority", "o_orderkey", "o_totalprice")
+    """Each customer's latest order against the best one before: a fall of more than 0.5 fails, however many small steps made it."""
+    rows = table(spark, d, "orders").select(F.col("o_custkey").alias("cell"), F.col("o_orderkey").alias("run"), F.struct("o_orderdate", "o_orderkey").alias("at"), (F.col("o_totalprice") / 100000).alias("overall"))
+    last = rows.groupBy("cell").agg(F.max("at").alias("last"))
+    marked = rows.join(last, "cell").withColumn("is_last", F.col("at") == F.col("last"))
+    found = gates.best_regression(marked.where("is_last"), marked.where("NOT is_last"), 0.5)
+    return found.select("cell", rounded("best").alias("best"), "best_run", rounded("now").alias("now"), rounded("fell").alias("fell"), "failed")
 
 
 @query("SELECT c_custkey, c_name, c_mktsegment FROM customer WHERE c_name ILIKE '%00001%' OR c_mktsegment ILIKE '%build%' ORDER BY c_acctbal DESC, c_custkey LIMIT 5")
@@ -307,7 +318,7 @@ def set_intersection(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("SELECT r_name, n_name, count(*) AS orders, round(sum(o_totalprice), 2) AS value FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey GROUP BY ALL")
-def chunk_doc_join(spark: SparkSession, d: str) -> DataFrame:
+def rollup_join(spark: SparkSession, d: str) -> DataFrame:
     """Children joined to parents over three levels, then summed."""
     j = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("c_custkey") == F.col("o_custkey")).join(table(spark, d, "nation"), F.col("n_nationkey") == F.col("c_nationkey")).join(table(spark, d, "region"), F.col("r_regionkey") == F.col("n_regionkey"))
     return j.groupBy("r_name", "n_name").agg(F.count("*").alias("orders"), rounded(F.sum("o_totalprice"), 2).alias("value"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import wording
 from ..functions.columns import rounded
-from ..operators import boards
+from ..operators import boards, records
 from ..operators.relational import top_k_per
 from ..sources.tables import table
 from .registry import query
@@ -119,13 +119,34 @@ def normalise_task(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.sha2(wording.normal_finding(F.col("text")), 256).alias("normal_sha256"))
 
 
-@query(f"""WITH k AS (SELECT doc_id, array_to_string(list_slice(string_split({_FINDING}, ' '), 1, 12), ' ') AS k FROM documents)
-SELECT min(doc_id) AS doc_id, sha256(k) AS anchor_sha256, count(*) AS merged FROM k WHERE len(string_split(k, ' ')) >= 4 GROUP BY k""")
+_TASKS = f"""tasks AS (SELECT doc_id, sha256({_FINDING}) AS key, len(string_split({_FINDING}, ' ')) >= 4 AND doc_id % 10 > 0 AS meets, ['critical', 'major', 'minor', 'suggestion'][doc_id % 4 + 1] AS severity, CASE WHEN doc_id % 3 > 0 THEN doc_id % 30 END AS page,
+  lang || ' ' || source AS action, CASE WHEN doc_id % 5 > 0 THEN source || '-' || (doc_id % 6) ELSE lang END AS problem FROM documents),
+ranked AS (SELECT *, CASE WHEN meets THEN key ELSE '#' || doc_id END AS k, 5 - list_position(['critical', 'major', 'minor', 'suggestion'], severity) AS rank FROM tasks),
+placed AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY rank DESC, page IS NOT NULL DESC, length(coalesce(action, '')) DESC, doc_id) AS place, count(*) OVER (PARTITION BY k) AS n FROM ranked)"""
+
+
+@query(f"""WITH {_TASKS}, kept AS (SELECT * FROM placed WHERE place = 1),
+points AS (SELECT k, string_agg(problem, ',' ORDER BY first) AS points FROM (SELECT p.k, p.problem, min(p.doc_id) AS first FROM placed p JOIN kept USING (k) WHERE p.place > 1 AND p.problem <> '' AND NOT contains(coalesce(kept.action, ''), p.problem) GROUP BY ALL) GROUP BY k)
+SELECT doc_id, severity, n - 1 AS duplicates, coalesce(points, '') AS points FROM kept LEFT JOIN points USING (k)""")
 def merge_anchor_collisions(spark: SparkSession, d: str) -> DataFrame:
-    """Documents whose first twelve telling words agree are one; anchors of fewer than four words merge with nothing."""
-    words = F.split(wording.normal_finding(F.col("text")), " ")
-    k = table(spark, d, "documents").select("doc_id", F.slice(words, 1, 12).alias("k")).where(F.size("k") >= 4)
-    return k.groupBy(F.sha2(F.array_join("k", " "), 256).alias("anchor_sha256")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("merged"))
+    """Documents as tasks whose anchor is the whole text; every tenth is protected."""
+    i = F.col("doc_id")
+    tasks = table(spark, d, "documents").select(
+        "doc_id", F.col("text").alias("anchor"), F.element_at(F.array(*[F.lit(s) for s in records.SEVERITY_RANK]), (i % 4 + 1).cast("int")).alias("severity"), F.when(i % 3 > 0, i % 30).alias("page"),
+        F.concat("lang", F.lit(" "), "source").alias("action"), F.when(i % 5 > 0, F.concat("source", F.lit("-"), (i % 6).cast("string"))).otherwise(F.col("lang")).alias("problem"), (i % 10 == 0).alias("protected"))
+    return records.merge_anchor_collisions(tasks, "doc_id").select("doc_id", "severity", "duplicates", F.array_join("points", ",").alias("points"))
+
+
+@query(f"SELECT doc_id, CAST(4 - doc_id % 4 AS INT) AS rank, CASE WHEN lag(4 - doc_id % 4) OVER o > 4 - doc_id % 4 OR (lag(4 - doc_id % 4) OVER o = 4 - doc_id % 4 AND length(lag(text) OVER o) >= length(text)) THEN 'before' WHEN lag(doc_id) OVER o IS NOT NULL THEN 'this' END AS stronger FROM documents WINDOW o AS (PARTITION BY source ORDER BY doc_id)")
+def pick_stronger(spark: SparkSession, d: str) -> DataFrame:
+    """Each document against the one before it of its source, by severity and length."""
+    i, o = F.col("doc_id"), Window.partitionBy("source").orderBy("doc_id")
+    severity = F.element_at(F.array(*[F.lit(s) for s in records.SEVERITY_RANK]), (i % 4 + 1).cast("int"))
+    power = records.strength(severity, F.lit(None), F.col("text"), i)
+    rows = table(spark, d, "documents").withColumns({"power": power, "rank": records.severity_rank(severity)}).withColumn("before", F.lag("power").over(o))
+    length = F.col("text").isNotNull() & F.lag("text").over(o).isNotNull()
+    rows = rows.withColumn("known", length | (F.col("before.severity") != F.col("power.severity")))
+    return rows.select("doc_id", "rank", F.when(F.col("before").isNull(), None).when(F.col("known") & (F.col("before") > F.col("power")), "before").otherwise("this").alias("stronger"))
 
 
 @query("""WITH a AS (SELECT doc_id, coalesce(text, '') AS t, regexp_replace(CASE WHEN doc_id % 3 = 0 THEN coalesce(text, '') WHEN doc_id % 3 = 1 THEN upper(left(coalesce(text, ''), 60)) ELSE substr(coalesce(text, ''), 11, 20) END, '^[ \\t\\n\\r\\f\\v]+|[ \\t\\n\\r\\f\\v]+$', '', 'g') AS q FROM documents)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import rounded
+from ..functions.wording import FINDING_STOPWORDS
 from ..operators import calibration, records, traces
 from ..sources import citations
 from ..sources.tables import table
@@ -98,7 +99,10 @@ def dedupe_sources(spark: SparkSession, d: str) -> DataFrame:
     return records.best_per_key(part, "source_key", "p_retailprice", "id", 3).select("source_key", "id", "rank")
 
 
-@query("""SELECT doc_id, substr(sha1(substr(trim(regexp_replace(lower(source || ' ' || coalesce(text, '')), '[^a-z0-9]+', ' ', 'g')), 1, 220)), 1, 16) AS fingerprint FROM documents""")
+_NORMAL = "array_to_string(list_filter(string_split(regexp_replace(lower(source || coalesce(' ' || nullif(text, ''), '')), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> '' AND w NOT IN (" + ", ".join(f"'{w}'" for w in FINDING_STOPWORDS) + ")), ' ')"
+
+
+@query(f"SELECT doc_id, substr(sha1(substr({_NORMAL}, 1, 220)), 1, 16) AS fingerprint FROM documents")
 def task_fingerprint(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", records.task_fingerprint(F.col("source"), F.coalesce("text", F.lit(""))).alias("fingerprint"))
 

@@ -145,18 +145,60 @@ def keyword_empty(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.keyword_search(table(spark, d, "documents"), [], False, 20)
 
 
+_WORDS = "regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')"
+
+
+def _search_sql(queries: str, k: int, every: bool = False) -> str:
+    return f"""asked AS ({queries}), wanted AS (SELECT query_id, list_distinct({_WORDS}) AS w FROM asked), terms AS (SELECT query_id, len(w) AS n_terms, unnest(w) AS word FROM wanted),
+split AS MATERIALIZED (SELECT doc_id, {_WORDS} AS w FROM documents), sized AS MATERIALIZED (SELECT doc_id, len(w) AS n_words FROM split), spoken AS MATERIALIZED (SELECT doc_id, unnest(w) AS word FROM split),
+said AS (SELECT doc_id, n_words, word FROM spoken JOIN sized USING (doc_id)), counts AS (SELECT doc_id, n_words, word, count(*) AS n FROM said GROUP BY ALL),
+sums AS (SELECT query_id, doc_id, n_words, n_terms, sum(list_sum(list_transform(range(1, n + 1), lambda j: 1.0::DOUBLE / (j * j)))) AS s, count(*) AS kinds FROM counts JOIN terms USING (word) GROUP BY ALL),
+met AS (SELECT *, s * 0.1 / 1.64493406685 / n_terms / log2(n_words + 1) AS raw FROM sums),
+scored AS (SELECT query_id, doc_id, round(raw / (raw + 1), 9) AS score FROM met{' WHERE kinds = n_terms' if every else ''}),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scored)"""
+
+
+_ITEMS = "SELECT item_id AS query_id, text FROM benchmark"
+
+
+def _items(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+
+
+@query(f"WITH {_search_sql(_ITEMS, 20)} SELECT query_id, doc_id, score FROM ranked WHERE rank <= 20")
+def keyword_search(spark: SparkSession, d: str) -> DataFrame:
+    """Benchmark items as queries against all documents, any word."""
+    return retrieval.text_search(_items(spark, d), table(spark, d, "documents"), 20).select("query_id", "doc_id", "score")
+
+
+@query(f"WITH {_search_sql('SELECT doc_id AS query_id, text FROM documents WHERE length(text) <= 60', 20, True)} SELECT query_id, doc_id, score FROM ranked WHERE rank <= 20")
+def keyword_variant_switch(spark: SparkSession, d: str) -> DataFrame:
+    """The same with all words wanted; the short documents as queries."""
+    docs = table(spark, d, "documents")
+    asked = docs.where("length(text) <= 60").select(F.col("doc_id").alias("query_id"), "text")
+    return retrieval.text_search(asked, docs, 20, every=True).select("query_id", "doc_id", "score")
+
+
 def _legs(spark: SparkSession, d: str) -> list[DataFrame]:
+    """Every hundredth document as a query: the neighbours of its vector, and the documents that share its words."""
     q, c = _vectors(spark, d)
     dense = retrieval.knn(q, c, 30).select("query_id", F.col("chunk_id").alias("doc_id"), F.col("similarity").alias("score"), "rank")
-    # a second leg: the neighbours of the query's successor
-    shifted = c.where("chunk_id % 100 = 1").select((F.col("chunk_id") - 1).alias("query_id"), "vector")
-    other = retrieval.knn(shifted, c, 30).select("query_id", F.col("chunk_id").alias("doc_id"), F.col("similarity").alias("score"), "rank")
-    return [dense, other]
+    docs = table(spark, d, "documents")
+    keyword = retrieval.text_search(docs.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), "text"), docs, 30)
+    return [dense, keyword]
+
+
+_LEGS = f"""{_search_sql('SELECT doc_id AS query_id, text FROM documents WHERE doc_id % 100 = 0', 30)},
+d AS (SELECT q.vec_id AS query_id, c.vec_id AS doc_id, list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) AS score FROM embeddings q, embeddings c WHERE q.vec_id % 100 = 0),
+b AS (SELECT query_id, 0 AS leg, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM d UNION ALL SELECT query_id, 1, doc_id, score, rank FROM ranked),
+l AS (SELECT *, max(score) OVER (PARTITION BY query_id, leg) AS best FROM b)"""
 
 
-_LEGS = """p AS (SELECT q.vec_id - q.vec_id % 100 AS query_id, q.vec_id % 100 AS leg, c.vec_id AS doc_id, list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) AS score
-  FROM embeddings q, embeddings c WHERE q.vec_id % 100 <= 1),
-l AS (SELECT *, row_number() OVER (PARTITION BY query_id, leg ORDER BY score DESC, doc_id) AS rank, max(score) OVER (PARTITION BY query_id, leg) AS best FROM p)"""
+@query(f"WITH {_LEGS} SELECT CASE leg WHEN 0 THEN 'dense' ELSE 'keyword' END AS leg, (SELECT count(*) FROM documents WHERE doc_id % 100 = 0) AS queries, count(DISTINCT query_id) AS answered, count(*) AS rows FROM l WHERE rank <= 30 AND query_id IN (SELECT doc_id FROM documents) GROUP BY 1")
+def hybrid_leg_health(spark: SparkSession, d: str) -> DataFrame:
+    dense, keyword = _legs(spark, d)
+    asked = table(spark, d, "documents").where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"))
+    return retrieval.leg_health({"dense": dense.join(asked, "query_id", "left_semi"), "keyword": keyword}, asked)
 
 
 @query(f"WITH {_LEGS} SELECT query_id, doc_id, round(sum(CASE WHEN best > 0 THEN score / best ELSE 0 END * CASE leg WHEN 0 THEN 0.7 ELSE 0.3 END), 6) AS score FROM l WHERE rank <= 30 GROUP BY query_id, doc_id")

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import rounded
+from ..functions.columns import rounded, title_words
 from ..operators import texts
 from ..operators.relational import first_wins
+from ..sources.stored import fresh_path
 from ..sources.tables import table
 from ..streaming import progress
 from .registry import query
@@ -19,9 +17,8 @@ _WS = "[ \\t\\n\\r\\f\\x0B]+"
 
 
 def _scratch(spark: SparkSession) -> str:
-    """A new folder in the session's shared folder (a temporary one only where none is set)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    """A new folder in the session's shared folder."""
+    return fresh_path(spark, "stream")
 
 
 @query(f"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '{_WS}'), lambda x: x <> '') AS w FROM documents),
@@ -34,48 +31,66 @@ def chunk_windows(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("SELECT doc_id, CAST(CASE WHEN n_chars <= 1200 THEN 1 ELSE 1 + ceil((n_chars - 1200) / 1000.0) END AS INT) AS chunks FROM documents")
-def chunk_params(spark: SparkSession, d: str) -> DataFrame:
+def chunk_estimate(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", texts.chunk_estimate(F.col("n_chars"), 1200, 200).alias("chunks"))
 
 
-_NORMAL = "trim(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]+', ' ', 'g'))"
+@query("""WITH p AS (SELECT doc_id, CASE WHEN doc_id % 50 > 0 THEN n_chars // 400 END AS pages FROM documents)
+SELECT doc_id, CASE WHEN pages >= 31 THEN 'LONG' WHEN pages >= 11 THEN 'MEDIUM' ELSE 'SHORT' END AS tier, CASE WHEN pages >= 31 THEN 2000 WHEN pages >= 11 THEN 1600 ELSE 1200 END AS chunk_size,
+CASE WHEN pages >= 31 THEN 300 WHEN pages >= 11 THEN 250 ELSE 200 END AS overlap FROM p""")
+def chunk_params(spark: SparkSession, d: str) -> DataFrame:
+    """Pages of 400 characters; every fiftieth document does not know how many it has."""
+    pages = F.when(F.col("doc_id") % 50 > 0, F.floor(F.col("n_chars") / 400))
+    return table(spark, d, "documents").select("doc_id", texts.chunk_tier(pages).alias("t")).select("doc_id", "t.*")
 
 
-@query(f"WITH k AS (SELECT doc_id, source, {_NORMAL} AS k FROM documents) SELECT min(doc_id) AS doc_id, sha256(k) AS key_sha256, count(*) AS copies FROM k GROUP BY k")
+@query("""WITH p AS (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'doi:10.1000/' || (p_partkey % 500) WHEN p_partkey % 3 = 1 THEN 'arxiv:' || p_size || '.' || (p_partkey % 300) ELSE 'title:' || lower(trim(p_name)) END AS key FROM part)
+SELECT min(p_partkey) AS p_partkey, key, count(*) AS copies FROM p GROUP BY key""")
 def dedupe_papers(spark: SparkSession, d: str) -> DataFrame:
-    """One row for each distinct normalised text, the first of its copies."""
-    k = table(spark, d, "documents").select("doc_id", F.sha2(texts.normal_title(F.col("text")), 256).alias("key_sha256"))
-    return k.groupBy("key_sha256").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+    """Parts as papers, some with a DOI, some with an arXiv number, all with a title: the first of each key."""
+    number = F.col("p_partkey")
+    key = texts.paper_key(F.when(number % 3 == 0, F.concat(F.lit("10.1000/"), number % 500)), F.when(number % 3 == 1, F.concat_ws(".", "p_size", number % 300)), F.col("p_name"))
+    return table(spark, d, "part").select("p_partkey", key.alias("key")).groupBy("key").agg(F.min("p_partkey").alias("p_partkey"), F.count("*").alias("copies"))
 
 
-@query(f"WITH k AS (SELECT doc_id, left({_NORMAL}, 80) AS k FROM documents) SELECT k AS title, count(*) AS n, min(doc_id) AS first_doc FROM k GROUP BY k HAVING count(*) > 1")
+@query("""WITH k AS (SELECT o_orderkey AS duplicate, replace(lower(c_name || '_' || year(o_orderdate)), ' ', '') AS k FROM orders JOIN customer ON c_custkey = o_custkey)
+SELECT min(duplicate) OVER (PARTITION BY k) AS original, duplicate FROM k QUALIFY duplicate > min(duplicate) OVER (PARTITION BY k)""")
 def duplicate_citations(spark: SparkSession, d: str) -> DataFrame:
-    k = table(spark, d, "documents").select("doc_id", F.substring(texts.normal_title(F.col("text")), 1, 80).alias("title"))
-    return k.groupBy("title").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")).where("n > 1")
+    """Orders as citations by first author (customer) and year: each later one with the first of its key."""
+    cited = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("c_custkey") == F.col("o_custkey"))
+    key = F.replace(F.lower(F.concat_ws("_", "c_name", F.year("o_orderdate").cast("string"))), F.lit(" "), F.lit(""))
+    return texts.duplicate_pairs(cited, key, "o_orderkey")
+
 
+TITLE_STOPWORDS = ["a", "an", "the", "of", "in", "on", "and", "or", "for", "to", "with"]
+_STOP = "(" + ", ".join(f"'{w}'" for w in TITLE_STOPWORDS) + ")"
 
-@query("""WITH t AS (SELECT p_partkey AS id, list_distinct(list_filter(regexp_extract_all(lower(p_name), '[a-z0-9]+'), lambda x: length(x) > 2)) AS w FROM part)
+
+@query(f"""WITH t AS (SELECT p_partkey AS id, list_distinct(list_filter(regexp_split_to_array(regexp_replace(lower(p_name), '[^\\p{{L}}\\p{{N}}_\\s]', '', 'g'), '\\s+'), lambda x: length(x) > 2 AND x NOT IN {_STOP})) AS w FROM part)
 SELECT a.id AS left_id, b.id AS right_id, round(len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))), 6) AS similarity
 FROM t a, t b WHERE a.id % 100 = 0 AND len(a.w) > 0 AND len(b.w) > 0 AND len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) >= 0.6""")
 def title_jaccard(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "part")
-    found = texts.similar_titles(p.where("p_partkey % 100 = 0").select(F.col("p_partkey").alias("left_id"), F.col("p_name").alias("title")), p.select(F.col("p_partkey").alias("right_id"), F.col("p_name").alias("title")), 0.6)
+    words = table(spark, d, "part").select("p_partkey", title_words(F.col("p_name"), 2, TITLE_STOPWORDS, joined=True).alias("words"))
+    found = texts.similar_titles(words.where("p_partkey % 100 = 0").withColumnRenamed("p_partkey", "left_id"), words.withColumnRenamed("p_partkey", "right_id"), 0.6)
     return found.select("left_id", "right_id", rounded("similarity").alias("similarity"))
 
 
-@query("""WITH b AS (SELECT item_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: length(x) > 4)) AS w FROM benchmark),
-d AS (SELECT doc_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: length(x) > 4)) AS w FROM documents)
+_LONG_WORDS = "list_distinct(list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'), lambda x: length(x) > 3))"
+
+
+@query(f"""WITH b AS (SELECT item_id, {_LONG_WORDS} AS w FROM benchmark), d AS (SELECT doc_id, {_LONG_WORDS} AS w FROM documents)
 SELECT item_id AS left_id, doc_id AS right_id, round(len(list_intersect(b.w, d.w)) / least(len(b.w), len(d.w)), 6) AS similarity FROM b, d WHERE len(b.w) > 0 AND len(d.w) > 0 AND len(list_intersect(b.w, d.w)) / least(len(b.w), len(d.w)) >= 0.6""")
 def title_containment(spark: SparkSession, d: str) -> DataFrame:
-    b = table(spark, d, "benchmark").select(F.col("item_id").alias("left_id"), F.col("text").alias("title"))
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("right_id"), F.col("text").alias("title"))
-    return texts.similar_titles(b, docs, 0.6, "containment", 4).select("left_id", "right_id", rounded("similarity").alias("similarity"))
+    words = lambda name, key, to: table(spark, d, name).select(F.col(key).alias(to), title_words(F.col("text"), 3).alias("words"))
+    found = texts.similar_titles(words("benchmark", "item_id", "left_id"), words("documents", "doc_id", "right_id"), 0.6, "containment")
+    return found.select("left_id", "right_id", rounded("similarity").alias("similarity"))
 
 
-@query("""WITH t AS (SELECT source AS topic, unnest(list_distinct(list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+'), lambda x: length(x) > 3))) AS term FROM documents),
-n AS (SELECT topic, term, count(*) AS n FROM t GROUP BY topic, term), r AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY n DESC, term) AS rank FROM n) SELECT topic, term, n, rank FROM r WHERE rank <= 10""")
+@query("""WITH t AS (SELECT source AS topic, list_distinct(list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+'), lambda x: length(x) > 3)) AS w FROM documents),
+n AS (SELECT topic, count(*) AS docs FROM t GROUP BY topic), c AS (SELECT topic, term, count(*) AS n FROM (SELECT topic, unnest(w) AS term FROM t) GROUP BY ALL)
+SELECT topic, term, c.n, round(c.n / docs, 6) AS share FROM c JOIN n USING (topic) WHERE c.n / docs >= 0.2""")
 def topic_vocabulary(spark: SparkSession, d: str) -> DataFrame:
-    return texts.topic_vocabulary(table(spark, d, "documents"), "source", 10).select("topic", "term", "n", "rank")
+    return texts.topic_vocabulary(table(spark, d, "documents"), "source", 0.2).withColumn("share", rounded("share"))
 
 
 @query(f"SELECT page_id, sha256(trim(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '<(script|style)[^>]*>.*?</(script|style)>', ' ', 'gis'), '<[^>]*>', ' ', 'gs'), '{_WS}', ' ', 'g'))) AS text_sha256, regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) AS host FROM pages")
