@@ -2,60 +2,24 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+from ..sources.stored import dropped, shared_folder, stored, tidy  # noqa: F401  (the operators and the pipeline take them from here)
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``, or the context's checkpoint folder.
-
-    Only on a local master (tests) is a temporary folder set where neither is; elsewhere that is an error.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
-        named = spark.sparkContext.getCheckpointDir()
-    return named.rstrip("/")
-
-
-@contextmanager
-def tidy(spark: SparkSession) -> Iterator[None]:
-    """Within it, Spark deletes the shuffle files of each query when the query ends."""
-    known = spark.conf.get(_TIDY, None)
-    spark.conf.set(_TIDY, "true")
-    try:
-        yield
-    finally:
-        if known is None:
-            spark.conf.unset(_TIDY)
-        else:
-            spark.conf.set(_TIDY, known)
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """Write ``df`` once as Parquet into the shared folder and read it back.
-
-    Cuts the lineage: several readers do not repeat the work, and a lost executor costs a reread only.  The shuffle
-    files of the write go when it ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    schema = df.schema
-    with tidy(spark):
-        df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+def rows_of(docs: DataFrame, carry: list[str]) -> DataFrame:
+    """(doc, row, doc_id, text, the carried columns as a struct): doc and row, never null, tell a row from all with another text."""
+    rest = F.struct(*[F.col(f"`{c}`") for c in carry]) if carry else F.lit(None).cast("string")
+    doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    return docs.select(
+        F.coalesce(doc_id, F.lit(0)).cast("long").alias("doc"), F.xxhash64(doc_id.isNull(), doc_id, text).bitwiseAND(0xFFFFFFFF).alias("row"),
+        doc_id.alias("doc_id"), text.alias("text"), rest.alias("rest"),
+    )
 
 
 def id_and_text(docs: DataFrame) -> DataFrame:
@@ -102,11 +66,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # small star: u and its neighbours below u are linked to the least of them
         small = large.groupBy("u").agg(F.min("v").alias("m"))
-        now = stored(
+        old, now = now, stored(
             large.join(small, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionByName(small.select("u", F.col("m").alias("v")))
             .where("u <> v").distinct()
         )
+        dropped(old)
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )

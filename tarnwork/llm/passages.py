@@ -2,9 +2,11 @@
 
 Paragraphs are content-defined, so that a passage copied into the middle of other text falls into the same paragraphs
 there: a paragraph ends with each sentence (or line) of ``LONG_SENTENCE`` words or more and takes the short ones before
-it along; a text's last short ones join the paragraph before them.  Every paragraph takes part.  The MinHash bands of its five-word shingles are tuned for recall; paragraphs that collide in a band are
-joined into candidate groups, the exact Jaccard similarity is verified within each, and the components of the verified
-links are the classes.  Of a class the smallest document's paragraphs stay; those in other documents are removed.
+it along; a text's last short ones join the paragraph before them.  Every paragraph takes part.  The MinHash bands of its
+five-word shingles are tuned for recall; paragraphs that collide in a band are joined into candidate groups, the exact
+Jaccard similarity is verified within each, and the components of the verified links are the classes.  Of a class the
+smallest document's paragraphs stay; those in other documents are removed where they make up a passage: a run of such
+paragraphs of ``LEAST_SPAN_WORDS`` words or more.  Shorter runs, the single lines that many documents share, stay.
 """
 
 from __future__ import annotations
@@ -16,13 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Forest, components, id_and_text, slices, stored, utf8
+from .common import Forest, components, id_and_text, rows_of, slices, stored, utf8
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 RECALL = 0.99
 ROWS = 2
 LONG_SENTENCE = 6
+LEAST_SPAN_WORDS = 20
 BATCH_BYTES = 4_000_000
 #: Candidate groups with more paragraphs are verified in blocks, each pair of blocks by itself.
 BLOCK = 1500
@@ -173,19 +176,22 @@ def candidate_links(docs: DataFrame, buckets: int, bands: int) -> DataFrame:
     return id_and_text(docs).mapInArrow(deal, "bucket int, blob binary").repartitionById(buckets, F.col("bucket")).mapInArrow(meet, "a long, b long").distinct()
 
 
-def places(docs: DataFrame) -> DataFrame:
-    """(doc_id, unit, start, stop, body): every paragraph; body is its bytes."""
+def places(rows: DataFrame) -> DataFrame:
+    """(doc, row, unit, start, stop, n_words, body): every paragraph; body is its bytes.  rows: (doc, row, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, BATCH_BYTES):
-            texts = utf8(batch.column(1))
+        for batch in slices(batches, BATCH_BYTES, 2):
+            texts = utf8(batch.column(2))
             p = paragraphs(texts)
             text, start, stop = p["text"], p["start"], p["stop"]
-            ids = batch.column(0).take(pa.array(text)) if len(text) else pa.array([], pa.int64())
+            of = pa.array(text.astype(np.int64))
             body = [texts[t][a:b] for t, a, b in zip(text.tolist(), start.tolist(), stop.tolist())]
-            yield pa.RecordBatch.from_arrays([ids, pa.array(p["unit"].view(np.int64)), pa.array(start, pa.int64()), pa.array(stop, pa.int64()), pa.array(body, pa.binary())], ["doc_id", "unit", "start", "stop", "body"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(of), batch.column(1).take(of), pa.array(p["unit"].view(np.int64)), pa.array(start, pa.int64()), pa.array(stop, pa.int64()), pa.array((p["last"] - p["first"]).astype(np.int32)), pa.array(body, pa.binary())],
+                ["doc", "row", "unit", "start", "stop", "n_words", "body"],
+            )
 
-    return id_and_text(docs).mapInArrow(run, "doc_id long, unit long, start long, stop long, body binary")
+    return rows.select("doc", "row", "text").mapInArrow(run, "doc long, row long, unit long, start long, stop long, n_words int, body binary")
 
 
 def similar(units: list[int], bodies: list[bytes], block: list[int], similarity: float) -> list[tuple[int, int]]:
@@ -219,7 +225,7 @@ def similar(units: list[int], bodies: list[bytes], block: list[int], similarity:
     return links
 
 
-def verified_links(candidates: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
+def verified_links(candidates: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK, tasks: int = 8) -> DataFrame:
     """(a, b) of units in the same group whose exact similarity is high enough; candidates: (group, unit, body), units distinct."""
     sized = candidates.join(candidates.groupBy("group").agg(F.count("*").alias("size")).where("size > 1"), "group")
     n = F.ceil(F.col("size") / block).cast("int")
@@ -249,49 +255,53 @@ def verified_links(candidates: DataFrame, similarity: float = SIMILARITY, block:
         close()
         yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in links], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    return dealt.repartition("group", "x", "y").sortWithinPartitions("group", "x", "y").mapInArrow(run, "a long, b long")
+    return dealt.repartition(tasks, "group", "x", "y").sortWithinPartitions("group", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def paragraph_dedup(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
+def paragraph_dedup(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, least_words: int = LEAST_SPAN_WORDS) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_bytes, n_paragraphs_removed, n_removed, n_spans, kept (binary), classes, spans.
 
-    A paragraph is removed if a document with a smaller doc_id has one of its class; classes has the classes of the
-    removed ones.  Removed paragraphs next to each other make one span, with what separates them.  Null texts are
-    empty; rows without doc_id keep everything; spans of rows with the same doc_id are taken together.
+    A paragraph is removed if a document with a smaller doc_id has one of its class and the run of such paragraphs that it
+    lies in has ``least_words`` words; classes has the classes of the removed ones.  Removed paragraphs next to each other
+    make one span, with what separates them.  Null texts are empty; rows without doc_id keep everything and take part in
+    nothing; rows that repeat a doc_id are one document, each cut by its own text.
     """
-    keyed = id_and_text(docs).where("doc_id is not null")
+    rows = rows_of(docs, [])
+    keyed = rows.where("doc_id is not null")
     size = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 + size // 64_000_000)
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(tasks, 1 + size // 64_000_000)
     links = stored(candidate_links(keyed, buckets, tune_bands(similarity, recall)))
     near = components(links.where("a <> b")).select(F.col("node").alias("unit"), F.col("component").alias("group"))
     groups = stored(near.unionByName(links.where("a = b").select(F.col("a").alias("unit"), F.col("a").alias("group")).join(near, "unit", "left_anti")))
     found = stored(places(keyed).join(groups.hint("shuffle_hash"), "unit"))
     candidates = found.join(near.select("unit"), "unit", "left_semi").groupBy("group", "unit").agg(F.first("body").alias("body"))
-    classes = components(stored(verified_links(candidates, similarity)))
-    of = found.select("doc_id", "unit", "start", "stop").join(classes.withColumnRenamed("node", "unit"), "unit", "left").withColumn("class", F.coalesce("component", "unit"))
-    keeper = of.groupBy("class").agg(F.min("doc_id").alias("keeper"))
-    gone = of.join(keeper, "class").where("doc_id > keeper").groupBy(F.col("doc_id").alias("of")).agg(F.collect_list(F.struct("start", "stop", "class")).alias("gone"))
+    classes = components(stored(verified_links(candidates, similarity, tasks=max(tasks, 1 + size // 8_000_000))))
+    of = found.select("doc", "row", "unit", "start", "stop", "n_words").join(classes.withColumnRenamed("node", "unit"), "unit", "left").withColumn("class", F.coalesce("component", "unit"))
+    keeper = of.groupBy("class").agg(F.min("doc").alias("keeper"))
+    gone = of.join(keeper, "class").where("doc > keeper").groupBy("doc", "row").agg(F.collect_list(F.struct("start", "stop", "class", "n_words")).alias("gone"))
     span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, BATCH_BYTES):
             rows = []
             for doc, text, wanted in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), batch.column(2).to_pylist()):
-                wanted = sorted((w["start"], min(w["stop"], len(text)), w["class"]) for w in wanted or ())
-                spans: list[list[int]] = []
-                for a, b, _ in wanted:
-                    if spans and not any(_IN_WORD[_LOWER[c]] for c in text[spans[-1][1] : a]):
-                        spans[-1][1] = max(b, spans[-1][1])
+                spans: list[list] = []  # start, stop, words, classes
+                for a, b, c, n in sorted({(w["start"], w["stop"], w["class"], w["n_words"]) for w in (wanted or () if doc is not None else ())}):
+                    if spans and not any(_IN_WORD[_LOWER[x]] for x in text[spans[-1][1] : a]):
+                        spans[-1] = [spans[-1][0], max(b, spans[-1][1]), spans[-1][2] + n, [*spans[-1][3], c]]
                     else:
-                        spans.append([a, b])
+                        spans.append([a, b, n, [c]])
+                spans = [x for x in spans if x[2] >= least_words]
                 kept, at = [], 0
-                for a, b in spans:
+                for a, b, _, _ in spans:
                     kept.append(text[at:a])
                     at = b
                 kept.append(text[at:])
-                rows.append((doc, len(text), len(wanted), sum(b - a for a, b in spans), len(spans), b"".join(kept), sorted({w[2] for w in wanted}), [{"start": a, "stop": b} for a, b in spans]))
+                removed = [c for x in spans for c in x[3]]
+                rows.append((doc, len(text), len(removed), sum(x[1] - x[0] for x in spans), len(spans), b"".join(kept), sorted(set(removed)), [{"start": x[0], "stop": x[1]} for x in spans]))
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), span]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["doc_id", "n_bytes", "n_paragraphs_removed", "n_removed", "n_spans", "kept", "classes", "spans"])
 
-    joined = id_and_text(docs).join(gone, F.col("doc_id") == F.col("of"), "left").select("doc_id", "text", "gone")
+    joined = rows.join(gone, ["doc", "row"], "left").select("doc_id", "text", "gone")
     return joined.mapInArrow(run, "doc_id long, n_bytes long, n_paragraphs_removed long, n_removed long, n_spans long, kept binary, classes array<bigint>, spans array<struct<start: bigint, stop: bigint>>")

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from xxhash import xxh64_intdigest
 
-from .common import slices, stored, utf8
+from .common import rows_of, slices, stored, utf8
 
 LENGTH = 50
 K = 20
@@ -118,16 +118,6 @@ def _packed(bucket: int, blob: bytes) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([blob], pa.binary())], ["bucket", "blob"])
 
 
-def rows_of(docs: DataFrame, carry: list[str]) -> DataFrame:
-    """(doc, row, doc_id, text, the carried columns as a struct): doc and row, never null, tell a row from all with another text."""
-    rest = F.struct(*[F.col(f"`{c}`") for c in carry]) if carry else F.lit(None).cast("string")
-    doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
-    return docs.select(
-        F.coalesce(doc_id, F.lit(0)).cast("long").alias("doc"), F.xxhash64(doc_id.isNull(), doc_id, text).bitwiseAND(0xFFFFFFFF).alias("row"),
-        doc_id.alias("doc_id"), text.alias("text"), rest.alias("rest"),
-    )
-
-
 def dealt_segments(rows: DataFrame, buckets: int, length: int = LENGTH, k: int = K) -> DataFrame:
     """(bucket, blob): packed segments.
 
