@@ -84,3 +84,34 @@ def kappa(pairs: DataFrame, a: str, b: str) -> DataFrame:
     s = pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull()).agg(F.count("*").alias("n"), F.avg((F.col(a) == F.col(b)).cast("double")).alias("observed"), F.avg(a).alias("pa"), F.avg(b).alias("pb"))
     expected = F.col("pa") * F.col("pb") + (1 - F.col("pa")) * (1 - F.col("pb"))
     return s.withColumn("expected", expected).select("n", "observed", "expected", F.when(F.col("expected") < 1, (F.col("observed") - F.col("expected")) / (1 - F.col("expected"))).alias("kappa"))
+
+
+def stratified_sample(df: DataFrame, stratum: str, key: str, seed: int, most: int) -> DataFrame:
+    """Up to ``most`` rows of each stratum, in the order of a seeded hash of the key, with their ``turn``."""
+    order = Window.partitionBy(stratum).orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), key)
+    return df.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= most)
+
+
+def population_weights(population: DataFrame, labelled: DataFrame, stratum: str) -> DataFrame:
+    """(stratum, weight): how many of the population each labelled row of a stratum stands for."""
+    every = population.groupBy(stratum).agg(F.count("*").alias("population"))
+    taken = labelled.groupBy(stratum).agg(F.count("*").alias("labelled"))
+    return every.join(taken, stratum).select(stratum, (F.col("population") / F.col("labelled")).alias("weight"))
+
+
+def rater_agreement(labels: DataFrame, least: int, unsure: str = "unsure", positive: str = "degraded") -> DataFrame:
+    """Agreement of a human and a model on runs that both labelled (run, rater, label; one label each).
+
+    Runs that either is unsure of do not enter agreement and kappa; with fewer than ``least`` others both are NULL.
+    """
+    sides = [labels.where(F.col("rater") == r).select("run", F.col("label").alias(r)) for r in ("human", "model")]
+    pairs = sides[0].join(sides[1], "run")
+    sure = (F.col("human") != unsure) & (F.col("model") != unsure)
+    share = lambda c: F.avg(F.when(sure, c.cast("double")))
+    s = pairs.agg(
+        F.count("*").alias("n_overlap"), F.count_if(sure).alias("n_scoreable"), F.count_if((F.col("human") == unsure) & (F.col("model") != unsure)).alias("unsure_human_only"),
+        F.count_if((F.col("human") == unsure) & (F.col("model") == unsure)).alias("unsure_both"), share(F.col("human") == F.col("model")).alias("po"),
+        share(F.col("human") == positive).alias("h"), share(F.col("model") == positive).alias("m"))
+    chance = F.col("h") * F.col("m") + (1 - F.col("h")) * (1 - F.col("m"))
+    enough = F.col("n_scoreable") >= least
+    return s.withColumn("agreement", F.when(enough, F.col("po"))).withColumn("kappa", F.when(enough & (chance < 1), (F.col("po") - chance) / (1 - chance)))

@@ -63,9 +63,10 @@ def linked_spans(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _owned(linked: DataFrame) -> DataFrame:
-    """Spans with the key of the node that owns them (the nearest node at or above them); spans without one have none."""
+    """Spans with the key of the node that owns them: the nearest node at or above them, else their own."""
     key = S.node_key(F.col("node"), F.col("name"), F.col("reviewer"))
-    return linked.join(S.nearest_known(linked, F.when(F.col("kind") == "node", key)).withColumnRenamed("value", "owner"), ["trace_id", "span_id"])
+    found = linked.join(S.nearest_known(linked, F.when(F.col("kind") == "node", key)), ["trace_id", "span_id"])
+    return found.withColumn("owner", F.coalesce("value", key)).drop("value")
 
 
 def _calls(spark: SparkSession, d: str) -> DataFrame:
@@ -91,7 +92,7 @@ def attr_ancestor_lookup(spark: SparkSession, d: str) -> DataFrame:
     return S.nearest_known(linked_spans(spark, d), F.col("paper")).select("span_id", F.col("value").alias("paper"))
 
 
-@query(f"""WITH RECURSIVE {_SPANS}, {_OWNER} SELECT s.span_id, k.key AS owner FROM spans s LEFT JOIN owners o USING (trace_id, span_id) LEFT JOIN keyed k ON k.trace_id = o.trace_id AND k.span_id = o.owner""")
+@query(f"""WITH RECURSIVE {_SPANS}, {_OWNER} SELECT s.span_id, coalesce(k.key, m.key) AS owner FROM spans s JOIN keyed m USING (trace_id, span_id) LEFT JOIN owners o USING (trace_id, span_id) LEFT JOIN keyed k ON k.trace_id = o.trace_id AND k.span_id = o.owner""")
 def owning_node_ancestor(spark: SparkSession, d: str) -> DataFrame:
     return _owned(linked_spans(spark, d)).select("span_id", "owner")
 
@@ -100,8 +101,8 @@ _USAGE = """count(*) AS calls, count(*) FILTER (input_tokens IS NULL AND output_
 CAST(coalesce(sum(cached_tokens), 0) AS BIGINT) AS cached, round(CASE WHEN sum(input_tokens) > 0 THEN coalesce(sum(cached_tokens), 0) / sum(input_tokens) END, 6) AS cache_hit_rate"""
 
 
-@query(f"""WITH RECURSIVE {_SPANS}, {_OWNER} SELECT k.key AS owner, {_USAGE.replace("input_tokens", "s.input_tokens").replace("output_tokens", "s.output_tokens").replace("cached_tokens", "s.cached_tokens")}
-FROM spans s LEFT JOIN owners o USING (trace_id, span_id) LEFT JOIN keyed k ON k.trace_id = o.trace_id AND k.span_id = o.owner WHERE s.kind = 'llm_call' GROUP BY k.key""")
+@query(f"""WITH RECURSIVE {_SPANS}, {_OWNER} SELECT coalesce(k.key, m.key) AS owner, {_USAGE.replace("input_tokens", "s.input_tokens").replace("output_tokens", "s.output_tokens").replace("cached_tokens", "s.cached_tokens")}
+FROM spans s JOIN keyed m USING (trace_id, span_id) LEFT JOIN owners o USING (trace_id, span_id) LEFT JOIN keyed k ON k.trace_id = o.trace_id AND k.span_id = o.owner WHERE s.kind = 'llm_call' GROUP BY 1""")
 def tokens_by_node(spark: SparkSession, d: str) -> DataFrame:
     return S.usage(_owned(linked_spans(spark, d)).where("kind = 'llm_call'"), ["owner"]).withColumn("cache_hit_rate", rounded("cache_hit_rate"))
 
@@ -128,10 +129,10 @@ def run_cost(spark: SparkSession, d: str) -> DataFrame:
     return S.priced_totals(_calls(spark, d), ["trace_id"]).withColumn("usd", rounded("usd"))
 
 
-@query(f"""WITH RECURSIVE {_SPANS}, {_PRICED}, {_OWNER} SELECT coalesce(k.key, '<no node>') AS owner, round(coalesce(sum(usd), 0), 6) AS usd, count(*) FILTER (usd IS NULL) AS unpriced
-FROM costs c LEFT JOIN owners o USING (trace_id, span_id) LEFT JOIN keyed k ON k.trace_id = o.trace_id AND k.span_id = o.owner GROUP BY 1""")
+@query(f"""WITH RECURSIVE {_SPANS}, {_PRICED}, {_OWNER} SELECT coalesce(k.key, m.key) AS owner, round(coalesce(sum(usd), 0), 6) AS usd, count(*) FILTER (usd IS NULL) AS unpriced
+FROM costs c JOIN keyed m USING (trace_id, span_id) LEFT JOIN owners o USING (trace_id, span_id) LEFT JOIN keyed k ON k.trace_id = o.trace_id AND k.span_id = o.owner GROUP BY 1""")
 def cost_by_node(spark: SparkSession, d: str) -> DataFrame:
-    owned = _owned(linked_spans(spark, d)).where("kind = 'llm_call'").withColumn("owner", F.coalesce("owner", F.lit("<no node>")))
+    owned = _owned(linked_spans(spark, d)).where("kind = 'llm_call'")
     priced = owned.withColumn("usd", S.cost(F.col("model"), F.col("input_tokens"), F.col("output_tokens"), F.col("cached_tokens"), PRICES))
     return S.priced_totals(priced, ["owner"]).select("owner", rounded("usd").alias("usd"), "unpriced")
 
