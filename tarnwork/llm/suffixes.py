@@ -372,6 +372,7 @@ def _met_suffixes(asked: DataFrame, texts: DataFrame, buckets: int, length: int,
             yield _found(*(np.array([h[c] for h in alone], np.int64) for c in range(3)), np.ones(len(alone), np.int64))
         if held:
             yield _found(*_covered(held, length))
+        pa.default_memory_pool().release_unused()
 
     large = stored(asked.groupBy("least").count().where(F.col("count") > most).select("least", F.lit(True).alias("large")))
     known = asked.join(large, "least", "left").select("doc", "row", F.struct("start", "n", "least", F.coalesce("large", F.lit(False)).alias("large")).alias("w"))
