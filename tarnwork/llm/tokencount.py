@@ -9,7 +9,9 @@ swallows earlier ones).  States and transitions are determinised when first met,
 
 Long texts are cut anywhere into chunks.  What a chunk does to any entry state is a map (head, n, tail): white space
 puts every entry state into the same state, so only the symbols before the first and after the last white space
-depend on neighbours.  Maps compose associatively, by a parallel prefix scan.
+depend on neighbours, and stand for what they do to an entry state that is not known yet.  Maps compose associatively;
+as only the whole text's map is wanted, of a parallel prefix scan the up-sweep is enough: neighbours are composed in
+pairs, round by round, so memory stays linear in the text, also where it has no white space.
 """
 
 from __future__ import annotations
@@ -195,13 +197,11 @@ class Counter(dict):
             return (a[0], a[1], a[2] + b[0])
         return (a[0], a[1] + self.count(a[2] + b[0]) + b[1], b[2])
 
-    def scan(self, maps: list[tuple]) -> list[tuple]:
-        """Inclusive prefix composition in log2(len(maps)) rounds, each round's compositions independent."""
-        step = 1
-        while step < len(maps):
-            maps = [self.compose(maps[i - step], m) if i >= step else m for i, m in enumerate(maps)]
-            step *= 2
-        return maps
+    def combine(self, maps: list[tuple]) -> tuple:
+        """The map of all chunks: the up-sweep of a prefix scan, log2(len(maps)) rounds of independent compositions."""
+        while len(maps) > 1:
+            maps = [self.compose(maps[i], maps[i + 1]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
+        return maps[0]
 
     def total(self, m: tuple) -> int:
         return self.count(m[0]) + m[1] + (self.count(m[2]) if m[2] else 0)
@@ -218,7 +218,8 @@ def token_counts(docs: DataFrame, vocabulary: str, chunk_chars: int = CHUNK_CHAR
 
     ``vocabulary``: path of the tokenizer's .json, which every executor has.  Counts are without added special
     tokens; special strings inside a text count as one token each, as the library does by default.  Null is empty.
-    Every chunk of a text is mapped by itself; only the small maps are shuffled, to be composed by document.
+    Every chunk of a text is mapped by itself; only the small maps are shuffled, to be composed by row.  Each row is counted
+    by its own text, also rows that repeat a doc_id or have none.
     """
 
     def maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,7 +234,7 @@ def token_counts(docs: DataFrame, vocabulary: str, chunk_chars: int = CHUNK_CHAR
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(vocabulary)
         for batch in batches:
-            totals = [c.total(c.scan([(m["head"], m["n"], m["tail"]) for m in ms])[-1]) for ms in batch.column(2).to_pylist()]
+            totals = [c.total(c.combine([(m["head"], m["n"], m["tail"]) for m in ms])) for ms in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(totals, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
     chunks = (

@@ -284,7 +284,17 @@ def test_token_counts_equal_the_library(docs, texts, empty):
         t = "".join(rng.choices("ab 'stre\n\t.,0Éσς Σİ你é😀", k=rng.randint(0, 30))) + rng.choice(["", "<|endoftext|>", "x<|startoftext|>"])
         k = rng.randint(1, 9)
         maps = [counter.chunk_map(t[i : i + k]) for i in range(0, max(1, len(t)), k)]
-        assert counter.total(counter.scan(maps)[-1]) == counter.count(t) == len(library.encode(t, add_special_tokens=False).ids), t
+        assert counter.total(counter.combine(maps)) == counter.count(t) == len(library.encode(t, add_special_tokens=False).ids), t
+
+
+def test_tokens_of_a_text_without_spaces(spark):
+    from tokenizers import Tokenizer
+
+    path, rng = public_tokenizers.path("word_bpe_49k.json"), random.Random(20)
+    rows = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=300_000)), "1" * 100_000, "ab" * 100_000 + " end", "!?" * 70_000]
+    got = by_id(tokencount.token_counts(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), path, 4096))
+    library = Tokenizer.from_file(path)
+    assert [got[i]["n_tokens"] for i in range(len(rows))] == [len(library.encode(t, add_special_tokens=False).ids) for t in rows]
 
 
 def test_quality_measures(texts):
