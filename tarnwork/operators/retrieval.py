@@ -25,11 +25,12 @@ def knn(queries: DataFrame, chunks: DataFrame, k: int, least: float | None = Non
     task are shuffled, whatever the number of chunks.  Null vectors are left out; a zero vector has similarity 0.
     ``least``: chunks below (``strict``: at) this similarity do not count.
     """
-    known = queries.where("vector is not null")
-    blocks = 1 + (known.count() - 1) // QUERY_BLOCK if QUERY_BLOCK else 1
+    known = queries.where("vector is not null").select("query_id", "vector")
+    first = known.limit(QUERY_BLOCK + 1).toPandas()  # all queries, if they fit into one block
+    blocks = 1 if len(first) <= QUERY_BLOCK else 1 + (known.count() - 1) // QUERY_BLOCK
     parts = []
-    for b in range(max(1, blocks)):
-        block = known.where(F.pmod(F.xxhash64("query_id"), F.lit(max(1, blocks))) == b).select("query_id", "vector").toPandas()
+    for b in range(blocks):
+        block = first if blocks == 1 else known.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).toPandas()
         ids = block["query_id"].to_numpy(np.int64)
         matrix = _unit(np.array(block["vector"].tolist(), np.float64).reshape(len(ids), -1))
         parts.append(chunks.where("vector is not null").select("chunk_id", "vector").mapInArrow(_scorer(ids, matrix, k, least, strict), "query_id long, chunk_id long, similarity double"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.stored import stored
 from .relational import islands
 
 
@@ -60,11 +61,11 @@ def critical_path(spans: DataFrame) -> DataFrame:
     shares = []
     while True:
         above = level.select(F.col("span_id").alias("parent_id"), "lo", "hi")
-        below = (
+        below = stored(
             known.join(above, "parent_id")
             .withColumn("cursor", F.least("hi", F.coalesce(F.min("start").over(later), F.col("hi"))))
             .select("span_id", "parent_id", F.greatest("start", "lo").alias("lo"), F.least("stop", "cursor").alias("hi"))
-            .where("hi > lo").persist()
+            .where("hi > lo")
         )
         blocked = below.groupBy(F.col("parent_id").alias("span_id")).agg(F.sum(F.col("hi") - F.col("lo")).alias("blocked"))
         shares.append(level.join(blocked, "span_id", "left").select("span_id", (F.col("hi") - F.col("lo") - F.coalesce("blocked", F.lit(0.0))).alias("critical")))
