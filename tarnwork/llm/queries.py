@@ -8,7 +8,7 @@ from public_tokenizers import path as vocabulary
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, licenses, passages, quality, sentencepieces, simhash, suffixes, tokencount, toxicity
+from . import chat, decontaminate, licenses, passages, quality, sentencepieces, simhash, suffixes, tokencount, toxicity, variants
 
 WORD_VOCABULARY = "word_bpe_49k.json"
 PIECE_VOCABULARY = "piece_bpe_32k.model"
@@ -73,11 +73,16 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_decontaminate, op2_token_counts, op3_quality_rules, op4_chat_format, op5_toxicity,
         op6_paragraph_dedup, op7_sentencepiece, op8_suffix_dedup, op9_license_scan, op10_simhash,
+        op11_spelling_variants,
     )
 }
 
@@ -173,4 +178,36 @@ sums AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans FROM spans
 SELECT d.doc_id, CAST(length(d.h) / 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
   sha256(unhex(coalesce(k.h, d.h))) AS kept_sha256
 FROM docs d LEFT JOIN sums USING (doc_id) LEFT JOIN kept k ON k.doc_id = d.doc_id""",
+    "op11_spelling_variants": r"""
+WITH RECURSIVE bits(i, step, c) AS (
+  SELECT CAST(i AS BIGINT), 0, CAST(i AS BIGINT) FROM range(256) AS t(i)
+  UNION ALL SELECT i, step + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bits WHERE step < 8
+),
+crc AS (SELECT list(c ORDER BY i) AS t FROM bits WHERE step = 8),
+runs AS (
+  SELECT id, run, count(*) AS times FROM (
+    SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{00C0}-\x{00FF}]+')) AS run FROM documents
+  ) WHERE length(run) >= 6 GROUP BY id, run
+),
+bytes AS (SELECT id, run, times, hex(encode(id || ':' || run)) AS x FROM runs),
+hashed AS (
+  SELECT id, run, times, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(0, length(x) // 2), lambda k: CAST(('0x' || substr(x, 2 * k + 1, 2)) AS BIGINT))), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) AS h
+  FROM bytes, crc
+),
+words AS (
+  SELECT word, CAST(sum(times) AS BIGINT) AS n FROM (
+    SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, times FROM hashed
+  ) WHERE length(word) >= 6 GROUP BY word HAVING sum(times) >= 5
+),
+gaps AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM words, unnest(range(1, length(word) + 1)) AS t(i)),
+near AS (
+  SELECT a.word, b.word AS other, b.n AS m FROM gaps a JOIN gaps b ON a.i = b.i AND a.rest = b.rest AND length(a.word) = length(b.word) AND a.word <> b.word
+  UNION SELECT g.word, w.word, w.n FROM gaps g JOIN words w ON g.rest = w.word
+  UNION SELECT w.word, g.word, g.n FROM gaps g JOIN words w ON g.rest = w.word
+),
+best AS (SELECT word, count(*) AS n_near, arg_min(other, (-m, encode(other))) AS other, max(m) AS m FROM near GROUP BY word),
+known AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 5 * n THEN other END AS form, CASE WHEN m >= 5 * n THEN m END AS form_n FROM words w LEFT JOIN best USING (word)),
+up(word, top, step) AS (SELECT word, word, 0 FROM known UNION ALL SELECT up.word, k.form, step + 1 FROM up JOIN known k ON k.word = up.top WHERE k.form IS NOT NULL),
+roots AS (SELECT word, arg_max(top, step) AS root FROM up GROUP BY word)
+SELECT k.word, k.form, r.root, k.n, k.n_near, k.form_n FROM known k JOIN roots r USING (word)""",
 }
