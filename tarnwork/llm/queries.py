@@ -8,7 +8,7 @@ from public_tokenizers import path as vocabulary
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, licenses, passages, quality, sentencepieces, simhash, suffixes, tokencount, toxicity, variants
+from . import chat, collocations, decontaminate, licenses, passages, quality, sentencepieces, simhash, suffixes, tokencount, toxicity, variants
 
 WORD_VOCABULARY = "word_bpe_49k.json"
 PIECE_VOCABULARY = "piece_bpe_32k.model"
@@ -77,12 +77,16 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.spelling_variants(table(spark, sf_dir, "documents"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_decontaminate, op2_token_counts, op3_quality_rules, op4_chat_format, op5_toxicity,
         op6_paragraph_dedup, op7_sentencepiece, op8_suffix_dedup, op9_license_scan, op10_simhash,
-        op11_spelling_variants,
+        op11_spelling_variants, op12_collocations,
     )
 }
 
@@ -210,4 +214,26 @@ known AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 5 *
 up(word, top, step) AS (SELECT word, word, 0 FROM known UNION ALL SELECT up.word, k.form, step + 1 FROM up JOIN known k ON k.word = up.top WHERE k.form IS NOT NULL),
 roots AS (SELECT word, arg_max(top, step) AS root FROM up GROUP BY word)
 SELECT k.word, k.form, r.root, k.n, k.n_near, k.form_n FROM known k JOIN roots r USING (word)""",
+    "op12_collocations": r"""
+WITH pieces AS (
+  SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM (
+    SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents
+  )
+),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+grams AS (
+  SELECT lang, m, w[i:i + m - 1] AS g FROM words, (VALUES (1), (2), (3), (4)) AS s(m), unnest(range(1, greatest(len(w) - m + 1, 0) + 1)) AS t(i)
+),
+f AS (SELECT lang, m, g, count(*) AS a FROM grams GROUP BY lang, m, g),
+total AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE m = 1 GROUP BY lang),
+candidates AS (SELECT lang, m, g, a FROM f WHERE m > 1 AND a >= 30),
+cut AS (
+  SELECT c.lang, c.m, c.g, c.a, k, l.a AS l, r.a AS r, CAST(CAST(2000000 AS HUGEINT) * c.a // (CAST(l.a AS HUGEINT) + r.a) AS BIGINT) AS score
+  FROM candidates c, unnest(range(1, m)) AS t(k) JOIN f l ON l.lang = c.lang AND l.g = c.g[1:k] JOIN f r ON r.lang = c.lang AND r.g = c.g[k + 1:]
+),
+lowest AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+inner_ AS (SELECT lang, g[i:i + n - 1] AS g, max(a) AS of FROM candidates, (VALUES (2), (3)) AS s(n), unnest(range(1, greatest(m - n + 1, 0) + 1)) AS t(i) WHERE n < m GROUP BY ALL),
+left_ AS (SELECT x.*, array_to_string(x.g, ' ') AS phrase FROM lowest x LEFT JOIN inner_ y ON x.lang = y.lang AND x.g = y.g WHERE coalesce(100 * CAST(y.of AS HUGEINT) < 80 * CAST(x.a AS HUGEINT), true)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM left_)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN total USING (lang) WHERE rank <= 2000""",
 }
