@@ -8,7 +8,7 @@ from public_tokenizers import path as vocabulary
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, collocations, decontaminate, licenses, passages, quality, sentencepieces, simhash, suffixes, tokencount, toxicity, variants
+from . import chat, collocations, decontaminate, extraction, licenses, passages, quality, sentencepieces, simhash, suffixes, tokencount, toxicity, variants
 
 WORD_VOCABULARY = "word_bpe_49k.json"
 PIECE_VOCABULARY = "piece_bpe_32k.model"
@@ -81,12 +81,16 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
+def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_decontaminate, op2_token_counts, op3_quality_rules, op4_chat_format, op5_toxicity,
         op6_paragraph_dedup, op7_sentencepiece, op8_suffix_dedup, op9_license_scan, op10_simhash,
-        op11_spelling_variants, op12_collocations,
+        op11_spelling_variants, op12_collocations, op13_html_extraction,
     )
 }
 
@@ -236,4 +240,10 @@ inner_ AS (SELECT lang, g[i:i + n - 1] AS g, max(a) AS of FROM candidates, (VALU
 left_ AS (SELECT x.*, array_to_string(x.g, ' ') AS phrase FROM lowest x LEFT JOIN inner_ y ON x.lang = y.lang AND x.g = y.g WHERE coalesce(100 * CAST(y.of AS HUGEINT) < 80 * CAST(x.a AS HUGEINT), true)),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM left_)
 SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN total USING (lang) WHERE rank <= 2000""",
+    "op13_html_extraction": r"""
+WITH cut AS (SELECT page_id, url, regexp_extract(html, '(?s)<article>(.*?)</article>', 1) AS inside FROM pages),
+parts AS (SELECT page_id, url, unnest(regexp_split_to_array(inside, '</?(h1|p)>')) AS part, generate_subscripts(regexp_split_to_array(inside, '</?(h1|p)>'), 1) AS i FROM cut),
+plain AS (SELECT page_id, url, i, trim(regexp_replace(replace(regexp_replace(regexp_replace(regexp_replace(part, '<[^>]*>', ' ', 'g'), '&quot;?', '"', 'g'), '&amp;?', chr(1), 'g'), chr(1), '&'), '\s+', ' ', 'g')) AS block FROM parts),
+texts AS (SELECT page_id, url, coalesce(string_agg(block, chr(10) || chr(10) ORDER BY i) FILTER (WHERE block <> ''), '') AS text FROM plain GROUP BY page_id, url)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM texts""",
 }
