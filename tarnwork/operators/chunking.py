@@ -1,14 +1,9 @@
-"""Sentences, sections, chunks, near-duplicate wording and greedy clusters."""
+"""Sentences, sections, chunks and budgets of spans."""
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 _SPACE = r"[ \t\n\r\f\u000b]+"
 
@@ -63,73 +58,6 @@ def split_evenly(text: Column, parts: int) -> Column:
     return F.transform(F.filter(runs, lambda r: F.size(r) > 0), lambda r: F.array_join(r, " "))
 
 
-def sequence_ratio(a: Column, b: Column, least: float = 0.0) -> Column:
-    """Ratcliff-Obershelp similarity, twice the matched characters over all; NULL where a bound by letter counts lies under ``least``."""
-
-    @F.pandas_udf(DoubleType())
-    def ratio(left: pd.Series, right: pd.Series) -> pd.Series:
-        out = []
-        for x, y in zip(left, right):
-            m = None if x is None or y is None else SequenceMatcher(None, x, y)
-            out.append(m.ratio() if m is not None and (least == 0 or m.quick_ratio() >= least) else None)
-        return pd.Series(out, dtype="float64")
-
-    return ratio(a, b)
-
-
-def duplicate_wordings(left: DataFrame, right: DataFrame, least: float = 0.82) -> DataFrame:
-    """(left_id, right_id, ratio) of wordings (id, text; normal forms) that are equal or similar by ``sequence_ratio``.
-
-    The ratio is at most twice the shared characters over all, so pairs can only be similar if their lengths are near:
-    wordings meet in bands of length, a pair in one band only, and only near lengths with a word in common are compared.
-    """
-    words = lambda df, side: df.where("text <> ''").select(F.col("id").alias(f"{side}_id"), F.col("text").alias(f"{side}_text"), F.length("text").alias(f"{side}_n"), F.explode(F.array_distinct(F.split("text", " "))).alias("word"))
-    near = F.least("left_n", "right_n") * 2 >= F.lit(least) * (F.col("left_n") + F.col("right_n"))
-    met = words(left, "left").join(words(right, "right"), "word").where((F.col("left_id") != F.col("right_id")) & near)
-    pairs = met.dropDuplicates(["left_id", "right_id"]).select("left_id", "right_id", "left_text", "right_text")
-    ratio = F.when(F.col("left_text") == F.col("right_text"), 1.0).otherwise(sequence_ratio(F.col("left_text"), F.col("right_text"), least))
-    return pairs.select("left_id", "right_id", ratio.alias("ratio")).where(F.col("ratio") >= least)
-
-
-def earliest_links(rows: DataFrame, group: str, order: str, vector: str, least: float) -> DataFrame:
-    """(group, order, link): for each row the earliest row before it in its group with a cosine of ``least`` or more (NULL: none)."""
-    from ..functions.columns import cosine
-
-    mine = rows.select(group, F.col(order).alias("order"), F.col(vector).cast("array<double>").alias("v"))
-    before = rows.select(F.col(group).alias("_g"), F.col(order).alias("_o"), F.col(vector).cast("array<double>").alias("_v"))
-    met = mine.join(before, (F.col(group) == F.col("_g")) & (F.col("_o") < F.col("order"))).where(cosine(F.col("v"), F.col("_v")) >= least)
-    links = met.groupBy(group, "order").agg(F.min("_o").alias("link"))
-    return mine.select(group, "order").join(links, [group, "order"], "left")
-
-
-def greedy_clusters(rows: DataFrame, group: str, threshold: float) -> DataFrame:
-    """(group, id, cluster, link): rows (group, id, weight, vector) by falling weight (ties by id), each joined to the cluster
-    with the most similar member if that is similar enough, else a cluster of its own; cluster: the id of its first row.
-
-    What a row joins depends on all before it, so a group is one task's work; clusters never cross groups.
-    """
-
-    def cluster(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["weight", "id"], ascending=[False, True])
-        vectors = np.array(frame["vector"].tolist(), float)
-        norms = np.linalg.norm(vectors, axis=1, keepdims=True)
-        vectors = np.divide(vectors, norms, out=np.zeros_like(vectors), where=norms > 0)
-        ids, of, link = frame["id"].tolist(), [], []
-        for i in range(len(ids)):
-            scores = vectors[:i] @ vectors[i]
-            best = int(scores.argmax()) if i else -1
-            if best < 0 or scores[best] < threshold:
-                of.append(ids[i])
-                link.append(1.0)
-            else:
-                of.append(of[best])
-                link.append(float(scores[best]))
-        return pd.DataFrame({group: frame[group], "id": ids, "cluster": of, "link": link})
-
-    kind = rows.schema[group].dataType.simpleString()
-    return rows.select(group, F.col("id").cast("long"), F.col("weight").cast("double"), F.col("vector").cast("array<double>")).groupBy(group).applyInPandas(cluster, f"{group} {kind}, id long, cluster long, link double")
-
-
 def anchor_map(docs: DataFrame) -> DataFrame:
     """(doc_id, section, paragraph, n_words, sha256): every paragraph of every section that has words, numbered from 0.
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import cosine
 from ..functions.wording import is_verbatim
+from .consolidation import of_equal_length, pairs_in_groups, unit
 from .relational import first_wins, latest_wins, top_k_per
 
 #: The shortest and longest claim that is a query; verdicts that need a quotation.
@@ -83,11 +85,24 @@ def co_cited(references: DataFrame, least: int, own: DataFrame, most: int) -> Da
 
 
 def near_in_group(left: DataFrame, right: DataFrame, group: str, least: float) -> DataFrame:
-    """(group, left_id, right_id, similarity): pairs of a group with a cosine of ``least`` or more; sides are (group, id, vector)."""
-    l = left.select(group, F.col("id").alias("left_id"), F.col("vector").cast("array<double>").alias("l"))
-    r = right.select(group, F.col("id").alias("right_id"), F.col("vector").cast("array<double>").alias("r"))
-    scored = l.join(r, group).where("left_id <> right_id").select(group, "left_id", "right_id", cosine(F.col("l"), F.col("r")).alias("similarity"))
-    return scored.where(F.col("similarity") >= least)
+    """(group, left_id, right_id, similarity): pairs of a group with a cosine of ``least`` or more; sides are (group, id, vector).
+
+    left is a stated set of queries; a group's rows meet in blocks, so no group is one task's work.  Null vectors and groups take
+    part in nothing.
+    """
+    kind = left.schema[group].dataType.simpleString()
+    side = lambda df, mine: df.where(f"vector is not null and {group} is not null").select(group, F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector"), F.lit(mine).alias("asked"))
+
+    def compare(a: pd.DataFrame, b: pd.DataFrame | None) -> pd.DataFrame:
+        out = []
+        for x, y in ((a, a),) if b is None else ((a, b), (b, a)):
+            for one, two in of_equal_length(x[x["asked"]], y[~y["asked"]]):
+                similar = unit(one["vector"]) @ unit(two["vector"]).T
+                i, j = np.nonzero((similar >= least) & (one["id"].to_numpy()[:, None] != two["id"].to_numpy()[None]))
+                out.append(pd.DataFrame({"left_id": one["id"].to_numpy()[i], "right_id": two["id"].to_numpy()[j], "similarity": similar[i, j]}))
+        return pd.concat(out) if out else pd.DataFrame({"left_id": [], "right_id": [], "similarity": []})
+
+    return pairs_in_groups(side(left, True).unionByName(side(right, False)), group, compare, f"{group} {kind}, left_id long, right_id long, similarity double")
 
 
 def topic_terms(docs: DataFrame, without: list[str], most: int) -> DataFrame:

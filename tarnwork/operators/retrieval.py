@@ -10,30 +10,37 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .relational import top_k_per
+from .textindex import search_index, text_index
 
 #: Queries that are scored against the chunks at a time; bounds what is broadcast.
 QUERY_BLOCK = 2048
 #: Chunks that are multiplied with a block of queries at a time where all pairs count; bounds a task's matrices.
 CHUNK_SLICE = 1024
 
+_SCORED = "query_id long, chunk_id long, similarity double"
+
 
 def knn(queries: DataFrame, chunks: DataFrame, k: int, least: float | None = None, strict: bool = False) -> DataFrame:
     """(query_id, chunk_id, similarity, rank): the k chunks of highest cosine for each query, ties by chunk_id.
 
     queries: (query_id long, vector array<float>); chunks: (chunk_id long, vector array<float>).  Queries go over in blocks of bounded
     size; each task multiplies its chunks with a block and keeps its own k best for each query, so k rows for each query and
-    task are shuffled, whatever the number of chunks.  Null vectors are left out; a zero vector has similarity 0.
+    task are shuffled, whatever the number of chunks.  Null and empty vectors are left out; a zero vector has similarity 0; a
+    query is compared with the chunks of its own length only.  No queries or no chunks: no rows.
     ``least``: chunks below (``strict``: at) this similarity do not count.
     """
-    known = queries.where("vector is not null").select("query_id", "vector")
+    known = queries.where("size(vector) > 0").select("query_id", "vector")
     first = known.limit(QUERY_BLOCK + 1).toPandas()  # all queries, if they fit into one block
     blocks = 1 if len(first) <= QUERY_BLOCK else 1 + (known.count() - 1) // QUERY_BLOCK
     parts = []
     for b in range(blocks):
         block = first if blocks == 1 else known.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).toPandas()
-        ids = block["query_id"].to_numpy(np.int64)
-        matrix = _unit(np.array(block["vector"].tolist(), np.float64).reshape(len(ids), -1))
-        parts.append(chunks.where("vector is not null").select("chunk_id", "vector").mapInArrow(_scorer(ids, matrix, k, least, strict), "query_id long, chunk_id long, similarity double"))
+        for length, same in block.groupby(block["vector"].map(len)):
+            matrix = _unit(np.array(same["vector"].tolist(), np.float64))
+            of = chunks.where(F.size("vector") == int(length)).select("chunk_id", "vector")
+            parts.append(of.mapInArrow(_scorer(same["query_id"].to_numpy(np.int64), matrix, k, least, strict), _SCORED))
+    if not parts:
+        return top_k_per(queries.sparkSession.createDataFrame([], _SCORED), ["query_id"], [F.desc("similarity"), F.asc("chunk_id")], k)
     scored = parts[0]
     for p in parts[1:]:
         scored = scored.unionByName(p)
@@ -171,23 +178,18 @@ def keyword_search(docs: DataFrame, terms: list[str], every: bool, k: int) -> Da
     return found.select("doc_id", F.round(score, 9).alias("score")).orderBy(F.desc("score"), "doc_id").limit(k)
 
 
-def text_search(queries: DataFrame, docs: DataFrame, k: int, every: bool = False) -> DataFrame:
-    """(query_id, doc_id, score, rank): the k best documents of each query text, with any or with all (``every``) of its words.
+def text_search(queries: DataFrame, docs: DataFrame, k: int, every: bool = False, english: bool = False) -> DataFrame:
+    """(query_id, doc_id, score, rank): the k best documents of each query text; see ``textindex.search_index``."""
+    return search_index(text_index(docs, english), queries, k, every, english)
+
 
-    A word that occurs n times counts (1 + 1/4 + ... + 1/n^2) / 1.64493406685, a tenth of their sum is shared over the
-    query's words, divided by the binary logarithm of the document's length plus one, and mapped by x / (x + 1).  Query
-    words and document words meet in an equi-join; counts are combined before the shuffle.  A query without words finds nothing.
+def rerank(pool: DataFrame, scores: DataFrame, k: int) -> DataFrame:
+    """(query_id, doc_id, score, rank): the pool (query_id, doc_id, rank) by what a second scorer (query_id, doc_id, score) says of it.
+
+    What it says nothing of, or null, comes after what it knows, in the pool's order; equal scores too are in the pool's order, then by doc_id.
     """
-    words = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
-    wanted = queries.select("query_id", F.array_distinct(words).alias("w")).where(F.size("w") > 0).select("query_id", F.size("w").alias("n_terms"), F.explode("w").alias("word"))
-    said = docs.select("doc_id", words.alias("w")).select("doc_id", F.size("w").alias("n_words"), F.explode("w").alias("word"))
-    counts = said.groupBy("doc_id", "n_words", "word").agg(F.count("*").cast("int").alias("n"))
-    squares = F.aggregate(F.sequence(F.lit(1), F.col("n")), F.lit(0.0), lambda a, j: a + 1 / (j * j))
-    met = counts.join(wanted, "word").groupBy("query_id", "doc_id", "n_words", "n_terms").agg(F.sum(squares).alias("s"), F.count("*").alias("kinds"))
-    if every:
-        met = met.where("kinds = n_terms")
-    raw = F.col("s") * 0.1 / 1.64493406685 / F.col("n_terms") / (F.log(F.col("n_words") + 1.0) / F.log(F.lit(2.0)))
-    return top_k_per(met.select("query_id", "doc_id", F.round(raw / (raw + 1), 9).alias("score")), ["query_id"], [F.desc("score"), F.asc("doc_id")], k)
+    judged = pool.select("query_id", "doc_id", F.col("rank").alias("_was")).join(scores.select("query_id", "doc_id", "score"), ["query_id", "doc_id"], "left")
+    return top_k_per(judged, ["query_id"], [F.desc_nulls_last("score"), F.asc("_was"), F.asc("doc_id")], k).drop("_was")
 
 
 def leg_health(legs: dict[str, DataFrame], queries: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import wording
 from ..functions.columns import rounded
-from ..operators import chunking
+from ..operators import chunking, consolidation
 from ..sources.tables import table
 from .registry import query
 
@@ -59,21 +59,21 @@ def anchor_map(spark: SparkSession, d: str) -> DataFrame:
 def pairwise_duplicate(spark: SparkSession, d: str) -> DataFrame:
     """The names of every hundredth part against all: equal or similar wording (SQL has no sequence ratio; tested against a plain loop)."""
     t = table(spark, d, "part").select(F.col("p_partkey").alias("id"), wording.normal_finding(F.col("p_name")).alias("text"))
-    return chunking.duplicate_wordings(t.where("id % 100 = 0"), t).select("left_id", "right_id", rounded("ratio").alias("ratio"))
+    return consolidation.similar_wordings(t.where("id % 100 = 0"), t, 0.82).select("left_id", "right_id", rounded("ratio").alias("ratio"))
 
 
 @query("""WITH e AS (SELECT label, vec_id, embedding::DOUBLE[] AS v FROM embeddings), l AS (SELECT a.label, a.vec_id, min(b.vec_id) AS link FROM e a JOIN e b ON a.label = b.label AND b.vec_id < a.vec_id WHERE list_cosine_similarity(a.v, b.v) >= 0.3 GROUP BY ALL)
 SELECT label, vec_id, link FROM e LEFT JOIN l USING (label, vec_id)""")
 def embedding_links(spark: SparkSession, d: str) -> DataFrame:
     """Vectors of a label in order: the earliest similar one before each."""
-    return chunking.earliest_links(table(spark, d, "embeddings"), "label", "vec_id", "embedding", 0.3).select("label", F.col("order").alias("vec_id"), "link")
+    return consolidation.earliest_links(table(spark, d, "embeddings"), "label", "vec_id", "embedding", 0.3).select("label", F.col("order").alias("vec_id"), "link")
 
 
 @query()
 def cluster_missed(spark: SparkSession, d: str) -> DataFrame:
     """Vectors of a label in greedy clusters by falling weight (a greedy order is no SQL; tested against a plain loop)."""
     rows = table(spark, d, "embeddings").select("label", F.col("vec_id").alias("id"), ((F.col("vec_id") * 7 % 11) / 10).alias("weight"), F.col("embedding").alias("vector"))
-    return chunking.greedy_clusters(rows, "label", 0.3).select("label", "id", "cluster", rounded("link").alias("link"))
+    return consolidation.greedy_clusters(rows, "label", 0.3).select("label", "id", "cluster", rounded("link").alias("link"))
 
 
 @query("""WITH t AS (SELECT conv_id, turn, length(text) AS n FROM conversations WHERE text IS NOT NULL), b AS (SELECT *, least(n, 200) AS base FROM t), w AS (SELECT *, greatest(0, 1500 - sum(base) OVER (PARTITION BY conv_id)) AS rest, sum(n - base) OVER (PARTITION BY conv_id) AS over FROM b)
@@ -82,3 +82,33 @@ def span_budget(spark: SparkSession, d: str) -> DataFrame:
     """A conversation's budget of 1,500 characters over its turns."""
     t = table(spark, d, "conversations").where("text IS NOT NULL").select("conv_id", "turn", F.length("text").alias("n"))
     return chunking.allotted(t, "conv_id", "turn", "n", 1500, 200).select("conv_id", "turn", "allotted")
+
+
+def _tasks(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as revision tasks: a brand's are a draft's, what they say is their name, sizes are sections; some are never merged away."""
+    text = wording.normal_finding(F.col("p_name"))
+    family = F.when(F.col("p_size") % 10 == 0, F.concat_ws("/", "p_type", F.col("p_size").cast("string")))
+    return table(spark, d, "part").select(
+        F.col("p_brand").alias("draft"), F.col("p_partkey").alias("id"), text.alias("text"), F.col("p_type").alias("anchor"), F.col("p_size").cast("string").alias("section"),
+        F.col("p_type").alias("kind"), family.alias("family"), (F.col("p_partkey") % 50 == 0).alias("pinned"), F.col("p_retailprice").alias("severity"),
+    )
+
+
+@query()
+def consolidate_tasks(spark: SparkSession, d: str) -> DataFrame:
+    """Each task merged into the first of its draft that says the same, with the strongest of each (first fit is no SQL; tested against a plain loop)."""
+    tasks = _tasks(spark, d)
+    return consolidation.group_summary(tasks, consolidation.consolidate(tasks, "draft"), F.col("severity"))
+
+
+@query()
+def final_pairwise_dedup(spark: SparkSession, d: str) -> DataFrame:
+    """What the last pass merges (tested against a plain loop)."""
+    return consolidation.last_pass(_tasks(spark, d), "draft")
+
+
+@query()
+def cross_reviewer_dedup(spark: SparkSession, d: str) -> DataFrame:
+    """Critiques that stay with their reviewer; large parts belong to the lane of their type (tested against a plain loop)."""
+    t = _tasks(spark, d).select(F.col("draft").alias("paper"), "id", F.col("kind").alias("reviewer"), F.when(F.col("section").cast("int") > 25, F.lit("ECONOMY")).alias("lane"), "text")
+    return consolidation.own_critiques(t, "paper").select("paper", "id", "reviewer")

@@ -116,7 +116,7 @@ def operating_point(spark: SparkSession, d: str) -> DataFrame:
     return gates.operating_point(curve, F.col("budget")).select(rounded("threshold", 2).alias("threshold"), rounded("candidates", 3).alias("candidates"))
 
 
-_RATERS = """e AS (SELECT user_id // 2 AS run, CASE WHEN user_id % 2 = 0 THEN 'human' ELSE 'model' END AS rater, CASE WHEN event_type = 'error' THEN 'degraded' WHEN event_type = 'view' THEN 'unsure' ELSE 'ok' END AS label, ts, event_id FROM events WHERE user_id < 150),
+_RATERS = """e AS (SELECT user_id // 2 AS run, CASE WHEN user_id % 2 = 0 THEN 'human' ELSE 'model' END AS rater, CASE WHEN event_type = 'error' THEN 'degraded' WHEN event_type = 'view' THEN 'unsure' ELSE 'ok' END AS label, ts, event_id FROM events),
 last AS (SELECT run, rater, arg_max(label, event_id) AS label FROM e GROUP BY run, rater), pairs AS (SELECT h.label AS human, m.label AS model FROM last h JOIN last m ON h.run = m.run AND h.rater = 'human' AND m.rater = 'model'),
 k AS (SELECT count(*) AS n, avg(CASE WHEN human = model THEN 1.0 ELSE 0 END) AS po, avg(CASE WHEN human = 'degraded' THEN 1.0 ELSE 0 END) AS h, avg(CASE WHEN model = 'degraded' THEN 1.0 ELSE 0 END) AS m FROM pairs WHERE human <> 'unsure' AND model <> 'unsure')"""
 
@@ -125,7 +125,7 @@ k AS (SELECT count(*) AS n, avg(CASE WHEN human = model THEN 1.0 ELSE 0 END) AS
 round(CASE WHEN n >= 10 THEN po END, 6) AS agreement, round(CASE WHEN n >= 10 AND h * m + (1 - h) * (1 - m) < 1 THEN (po - (h * m + (1 - h) * (1 - m))) / (1 - (h * m + (1 - h) * (1 - m))) END, 6) AS kappa FROM k""")
 def rater_agreement(spark: SparkSession, d: str) -> DataFrame:
     """Users in pairs as a human and a model that label a run with each event; the last label counts."""
-    e = table(spark, d, "events").where("user_id < 150")
+    e = table(spark, d, "events")
     label = F.when(F.col("event_type") == "error", "degraded").when(F.col("event_type") == "view", "unsure").otherwise("ok")
     labels = e.select(F.floor(F.col("user_id") / 2).alias("run"), F.when(F.col("user_id") % 2 == 0, "human").otherwise("model").alias("rater"), label.alias("label"), "event_id")
     return calibration.rater_agreement(latest_wins(labels, ["run", "rater"], ["event_id"]), 10).select("n_overlap", "n_scoreable", "unsure_human_only", "unsure_both", rounded("agreement").alias("agreement"), rounded("kappa").alias("kappa"))
@@ -134,7 +134,7 @@ def rater_agreement(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {_RATERS} SELECT human, model, count(*) AS n FROM pairs GROUP BY ALL")
 def rater_confusion(spark: SparkSession, d: str) -> DataFrame:
     """All three labels of both raters against each other."""
-    e = table(spark, d, "events").where("user_id < 150")
+    e = table(spark, d, "events")
     label = F.when(F.col("event_type") == "error", "degraded").when(F.col("event_type") == "view", "unsure").otherwise("ok")
     last = latest_wins(e.select(F.floor(F.col("user_id") / 2).alias("run"), (F.col("user_id") % 2).alias("rater"), label.alias("label"), "event_id"), ["run", "rater"], ["event_id"])
     human, model = (last.where(f"rater = {i}").select("run", F.col("label").alias(n)) for i, n in enumerate(("human", "model")))

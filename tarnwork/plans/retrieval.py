@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import rounded
+from ..functions.columns import cosine, rounded
 from ..operators import ranking, retrieval
 from ..operators.relational import top_k_per
 from ..sources.tables import table
@@ -212,6 +212,24 @@ def rrf_fuse(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.reciprocal_rank_fusion(_legs(spark, d)).select("query_id", "doc_id", rounded("score").alias("score"))
 
 
+@query()
+def keyword_english(spark: SparkSession, d: str) -> DataFrame:
+    """Benchmark items as queries by their stems, stopwords left out (SQL has no stemmer; tested against a plain loop)."""
+    return retrieval.text_search(_items(spark, d), table(spark, d, "documents"), 20, english=True).select("query_id", "doc_id", "score")
+
+
+@query(f"""WITH {_LEGS}, pool AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(sum(1 / (60.0 + rank)), 9) DESC, doc_id) AS rank FROM l WHERE rank <= 30 GROUP BY query_id, doc_id),
+judged AS (SELECT p.query_id, p.doc_id, p.rank, round(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 6) AS score FROM pool p LEFT JOIN embeddings q ON q.vec_id = p.query_id LEFT JOIN embeddings c ON c.vec_id = p.doc_id WHERE p.rank <= 20),
+r AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC NULLS LAST, rank, doc_id) AS rank FROM judged) SELECT * FROM r WHERE rank <= 10""")
+def hybrid_then_rerank(spark: SparkSession, d: str) -> DataFrame:
+    """Twenty of the fused legs by a second scorer, the exact cosine; what it does not know comes last."""
+    fused = retrieval.reciprocal_rank_fusion(_legs(spark, d)).withColumn("score", F.round("score", 9))
+    pool = top_k_per(fused, ["query_id"], [F.desc("score"), F.asc("doc_id")], 20)
+    e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    pair = pool.join(e.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id").join(e.select(F.col("vec_id").alias("doc_id"), F.col("v").alias("c")), "doc_id")
+    return retrieval.rerank(pool, pair.select("query_id", "doc_id", rounded(cosine(F.col("q"), F.col("c"))).alias("score")), 10)
+
+
 @query("WITH t AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS turn FROM documents) SELECT source, doc_id, turn FROM t ORDER BY turn, source LIMIT 100")
 def stratified_round_robin(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.round_robin(table(spark, d, "documents").select("source", "doc_id"), "source", F.asc("doc_id"), 100)

@@ -37,38 +37,6 @@ def test_sentences_and_chunks(spark):
         assert [c for c, _ in got[i]] == want and all(n == len(c.split()) for c, n in got[i]), i
 
 
-def test_duplicate_wordings(spark):
-    rng = random.Random(2)
-    base = [" ".join("".join(rng.choices("abcde", k=5)) for _ in range(6)) for _ in range(12)]
-    texts = dict(enumerate(base + [b.replace("a", "b", 2) for b in base] + [base[0], ""]))
-    df = spark.createDataFrame(list(texts.items()), "id long, text string")
-    got = {(r["left_id"], r["right_id"]): r["ratio"] for r in chunking.duplicate_wordings(df, df).collect()}
-    want = {}
-    for a, x in texts.items():
-        for b, y in texts.items():
-            ratio = 1.0 if x == y else SequenceMatcher(None, x, y).ratio()
-            if a != b and x and y and ratio >= 0.82 and set(x.split()) & set(y.split()):
-                want[a, b] = ratio
-    assert got == want and (0, 24) in got
-
-
-def test_greedy_clusters(spark):
-    rng = np.random.default_rng(3)
-    rows = [(g, i, float(rng.integers(0, 4)), rng.normal(0, 1, 4).tolist()) for g in "xy" for i in range(25)] + [("z", 0, 1.0, [0.0] * 4), ("z", 1, 1.0, [0.0] * 4)]
-    got = {(r["g"], r["id"]): r["cluster"] for r in chunking.greedy_clusters(spark.createDataFrame(rows, "g string, id long, weight double, vector array<double>"), "g", 0.7).collect()}
-    for g in "xyz":
-        clusters: list[list] = []
-        for _, i, _, v in sorted((r for r in rows if r[0] == g), key=lambda r: (-r[2], r[1])):
-            v = np.array(v) / (np.linalg.norm(v) or 1.0)
-            best = max(((max(float(m @ v) for _, m in c), -n) for n, c in enumerate(clusters)), default=(-2.0, 0))
-            if best[0] < 0.7:
-                clusters.append([(i, v)])
-            else:
-                clusters[-best[1]].append((i, v))
-        for c in clusters:
-            assert {got[g, i] for i, _ in c} == {c[0][0]}
-
-
 def test_split_evenly(spark):
     df = spark.createDataFrame([("a b c d e f g",), ("a b",), ("",), (None,)], "t string")
     assert [r[0] for r in df.select(chunking.split_evenly(df.t, 4)).collect()] == [["a b", "c d", "e", "f g"], ["a", "b"], [], []]
