@@ -36,6 +36,9 @@ _INDEX = "doc_ids array<bigint>, starts array<int>, n_words array<int>, terms ar
 _HITS = "doc_id bigint, n_words bigint, hit_words array<int>, items array<string>, near_items array<string>"
 
 
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
 def words(text: bytes) -> list[bytes]:
     """Words of a text (UTF-8): A-Z lower-cased, runs of 0-9, a-z and characters from U+0080 on."""
     return _WORD.findall(text.lower())
@@ -83,15 +86,15 @@ def build_index(docs: DataFrame, numbers: dict[bytes, int], block_bytes: int = B
 
 
 def phrases(items: list[tuple[str, bytes]], numbers: dict[bytes, int], window: int) -> tuple[dict[tuple, list[str]], dict[str, tuple]]:
-    """The distinct windows with the items that have them, and each item's words, both as numbers."""
-    by_window, by_item = defaultdict(list), {}
+    """The distinct windows (0: none) with the items that have them, and the distinct words of each item over all its rows, as numbers."""
+    by_window, by_item = defaultdict(list), defaultdict(dict)
     for item, text in items:
         terms = tuple(numbers[w] for w in words(text))
-        if terms:
-            by_item[item] = terms
+        by_item[item].update(dict.fromkeys(terms))
+        if terms and window:
             for i in range(max(1, len(terms) - window + 1)):
                 by_window[terms[i : i + window]].append(item)
-    return dict(by_window), by_item
+    return dict(by_window), {item: tuple(terms) for item, terms in by_item.items() if terms}
 
 
 def search(index: DataFrame, by_window: dict[tuple, list[str]], by_item: dict[str, tuple], frequency: dict[int, int], spelt: list[bytes]) -> DataFrame:
@@ -192,9 +195,11 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, block
     words are one window; items without words have none).  contaminated: hits are a twentieth of the words or more.
     Null texts have no words.  near_items: items not found exactly whose NEAR_TERMS rarest words (of those that any
     document has; of equally rare ones the first by bytes) all lie within NEAR_SPAN words of the document, in any order.
-    Nothing depends on doc_id: each row is judged by its own text, also rows that repeat an id or have none.
+    Nothing depends on doc_id: each row is judged by its own text, also rows that repeat an id or have none.  Rows that repeat an
+    item_id are one item with the windows and words of all of them, in whatever order; a null item_id is the item "".
     """
-    queries = items.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    item_id = F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id")
+    queries = items.select(item_id, F.col("text").cast("string").alias("text")).where("text is not null").distinct()
     size = queries.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = 1 + size // item_block_bytes
     if blocks == 1:
@@ -202,7 +207,12 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, block
     # several blocks of items: each finds its own hit words of a row; a word that two blocks cover counts once
     keyed = stored(id_and_text(docs).withColumn("row", F.monotonically_increasing_id()))
     by_row = keyed.select(F.col("row").alias("doc_id"), "text")
-    parts = [_hits(by_row, queries.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b), window, block_bytes) for b in range(blocks)]
+    parts = [_hits(by_row, queries.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b), window, block_bytes, near=False) for b in range(blocks)]
+    # what is near depends on all rows of an item: its distinct words go by themselves
+    said = F.explode(F.regexp_extract_all(F.translate("text", _UPPER, _UPPER.lower()), F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), F.lit(0)))
+    spoken = stored(queries.select("item_id", said.alias("text")).distinct())
+    near_blocks = 1 + (spoken.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0) // item_block_bytes
+    parts += [_hits(by_row, spoken.where(F.pmod(F.xxhash64("item_id"), F.lit(near_blocks)) == b), 0, block_bytes) for b in range(near_blocks)]
     found = parts[0]
     for p in parts[1:]:
         found = found.unionByName(p)
@@ -214,8 +224,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, block
     return _judged(keyed.select("row", "doc_id").join(united, "row").drop("row"))
 
 
-def _hits(docs: DataFrame, queries: DataFrame, window: int, block_bytes: int) -> DataFrame:
-    block = [(r["item_id"] or "", r["text"].encode()) for r in queries.collect()]  # at most item_block_bytes and a text
+def _hits(docs: DataFrame, queries: DataFrame, window: int, block_bytes: int, near: bool = True) -> DataFrame:
+    block = [(r["item_id"], r["text"].encode()) for r in queries.collect()]  # distinct rows: at most item_block_bytes and a text
     numbers: dict[bytes, int] = {}
     for _, text in block:
         for w in words(text):
@@ -223,7 +233,8 @@ def _hits(docs: DataFrame, queries: DataFrame, window: int, block_bytes: int) ->
     index = stored(build_index(docs, numbers, block_bytes))
     pairs = F.explode(F.arrays_zip("terms", "counts")).alias("p")
     frequency = {r["t"]: r["n"] for r in index.select(pairs).groupBy(F.col("p.terms").alias("t")).agg(F.sum("p.counts").alias("n")).collect()}
-    return search(index, *phrases(block, numbers, window), frequency, list(numbers))
+    by_window, by_item = phrases(block, numbers, window)
+    return search(index, by_window, by_item if near else {}, frequency, list(numbers))
 
 
 def _judged(hits: DataFrame) -> DataFrame:

@@ -270,6 +270,20 @@ def test_near_items_equal_brute_force(spark):
     assert got[1]["near_items"] == ["1"]
 
 
+@pytest.mark.parametrize("block_bytes", [1 << 20, 8])
+def test_items_of_several_rows(spark, block_bytes):
+    """Rows that repeat an item_id are one item, in either order and in one block or many; repeated rows change nothing."""
+    docs = spark.createDataFrame([(1, "xx aa yy bb zz"), (2, "aa qq"), (3, "bb pp cc"), (4, "cc dd ee"), (5, "pp qq aa")], "doc_id long, text string")
+    rows = [("7", "aa bb"), ("7", "cc dd ee"), ("7", "aa bb"), (None, "qq aa"), ("8", None), ("9", "pp qq"), ("9", "qq pp")]
+    want = None
+    for order in (rows, rows[::-1]):
+        found = decontaminate.decontaminate(docs, spark.createDataFrame(order, "item_id string, text string"), item_block_bytes=block_bytes)
+        got = {r["doc_id"]: (sorted(set(r["items"])), sorted(set(r["near_items"])), r["n_items"]) for r in found.collect()}
+        want = want or got
+        assert got == want
+    assert want == {1: ([], [], 0), 2: ([], [""], 0), 3: ([], [], 0), 4: (["7"], [], 1), 5: (["", "9"], [], 2)}
+
+
 def test_token_counts_equal_the_library(docs, texts, empty):
     from tokenizers import Tokenizer
 
