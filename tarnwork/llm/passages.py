@@ -4,7 +4,7 @@ Paragraphs are content-defined, so that a passage copied into the middle of othe
 there: a paragraph ends with each sentence (or line) of ``LONG_SENTENCE`` words or more and takes the short ones before
 it along; a text's last short ones join the paragraph before them.  Every paragraph takes part.  The MinHash bands of its
 five-word shingles are tuned for recall; paragraphs that collide in a band are joined into candidate groups, the exact
-Jaccard similarity is verified within each, and the components of the verified links are the classes.  Of a class the
+Jaccard similarity is verified within each (within each band key, where a group is large), and the components of the verified links are the classes.  Of a class the
 smallest document's paragraphs stay; those in other documents are removed where they make up a passage: a run of such
 paragraphs of ``LEAST_SPAN_WORDS`` words or more.  Shorter runs, the single lines that many documents share, stay.
 """
@@ -27,7 +27,7 @@ ROWS = 2
 LONG_SENTENCE = 6
 LEAST_SPAN_WORDS = 20
 BATCH_BYTES = 4_000_000
-#: Candidate groups with more paragraphs are verified in blocks, each pair of blocks by itself.
+#: Candidate groups with more paragraphs are verified by their band keys.
 BLOCK = 1500
 
 _POWER, _INVERSE = np.uint64(0x5851F42D4C957F2D), np.uint64(pow(0x5851F42D4C957F2D, -1, 1 << 64))
@@ -194,10 +194,11 @@ def places(rows: DataFrame) -> DataFrame:
     return rows.select("doc", "row", "text").mapInArrow(run, "doc long, row long, unit long, start long, stop long, n_words int, body binary")
 
 
-def similar(units: list[int], bodies: list[bytes], block: list[int], similarity: float) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs with an exact Jaccard similarity of at least ``similarity``.
+def similar(units: list[int], bodies: list[bytes], similarity: float) -> list[tuple[int, int]]:
+    """Links that join what chains of pairs with an exact Jaccard similarity of at least ``similarity`` join.
 
-    Where there are two blocks only pairs across them count, else all.
+    The paragraph that shares most shingles with the others is compared with all of them, then every one that it is not similar to:
+    two that are similar to it are joined already.  So a group of near copies costs time in proportion to its paragraphs.
     """
     sets = []
     for body in bodies:
@@ -208,54 +209,75 @@ def similar(units: list[int], bodies: list[bytes], block: list[int], similarity:
     every, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
     order = np.argsort(every, kind="stable")
     every, of = every[order], of[order]
-    across = len(set(block)) > 1
-    which = np.array(block)
-    forest, links = Forest(), []
-    for i, s in enumerate(sets):
-        a, b = np.searchsorted(every, s, "left"), np.searchsorted(every, s, "right")
-        met = np.concatenate([of[x:y] for x, y in zip(a.tolist(), b.tolist())])
-        met = met[met > i]
-        if not len(met):
+    ends = np.cumsum(sizes)
+    met_all = np.searchsorted(every, np.concatenate(sets), "right") - np.searchsorted(every, np.concatenate(sets), "left")
+    hub = int(np.add.reduceat(met_all, ends - sizes).argmax())
+    forest, links, joined = Forest(), [], np.zeros(len(sets), bool)
+    for i in [hub, *(i for i in range(len(sets)) if i != hub)]:
+        if joined[i]:
             continue
-        j, common = np.unique(met, return_counts=True)
-        near = j[common >= similarity * (sizes[i] + sizes[j] - common) - 1e-9]
+        a, b = np.searchsorted(every, sets[i], "left"), np.searchsorted(every, sets[i], "right")
+        n = b - a
+        j, common = np.unique(of[np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())], return_counts=True)
+        near = j[(common >= similarity * (sizes[i] + sizes[j] - common) - 1e-9) & (j != i)]
+        if i == hub:
+            joined[near] = True
         for k in near.tolist():
-            if (not across or which[i] != which[k]) and forest.link(i, k):
+            if forest.link(i, k):
                 links.append((units[i], units[k]))
     return links
 
 
-def verified_links(candidates: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK, tasks: int = 8) -> DataFrame:
-    """(a, b) of units in the same group whose exact similarity is high enough; candidates: (group, unit, body), units distinct."""
-    sized = candidates.join(candidates.groupBy("group").agg(F.count("*").alias("size")).where("size > 1"), "group")
-    n = F.ceil(F.col("size") / block).cast("int")
-    mine = F.pmod(F.xxhash64("unit"), F.col("n")).cast("int")
-    dealt = (
-        sized.withColumn("n", n).withColumn("mine", mine)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-        .select("group", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "mine", "unit", "body")
-    )
+def body_keys(body: bytes, bands: int) -> np.ndarray:
+    """Band keys of a paragraph from its bytes."""
+    words = paragraphs([body])["words"]
+    first, last = np.array([0]), np.array([len(words)])
+    return band_keys({"first": first, "last": last, "words": words, "unit": _ranges(words, first, last)}, bands)[:, 0]
+
+
+def _links_in_groups(rows: DataFrame, group: str, similarity: float) -> DataFrame:
+    """(a, b): links within each group of rows (group, unit, body), sorted by group within their partitions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+        held: list[tuple[int, bytes]] = []
         links: list[tuple[int, int]] = []
         now = None
 
         def close() -> None:
             if len(held) > 1:
-                links.extend(similar([h[0] for h in held], [h[1] for h in held], [h[2] for h in held], similarity))
+                links.extend(similar([h[0] for h in held], [h[1] for h in held], similarity))
             held.clear()
 
         for batch in batches:
-            for g, x, y, mine_, unit, body in zip(*(batch.column(c).to_pylist() for c in range(6))):
-                if (g, x, y) != now:
+            for g, unit, body in zip(*(batch.column(c).to_pylist() for c in range(3))):
+                if g != now:
                     close()
-                    now = (g, x, y)
-                held.append((unit, body, mine_))
+                    now = g
+                held.append((unit, body))
         close()
         yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in links], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    return dealt.repartition(tasks, "group", "x", "y").sortWithinPartitions("group", "x", "y").mapInArrow(run, "a long, b long")
+    return rows.select(group, "unit", "body").sortWithinPartitions(group).mapInArrow(run, "a long, b long")
+
+
+def verified_links(candidates: DataFrame, bands: int, similarity: float = SIMILARITY, block: int = BLOCK, tasks: int = 8) -> DataFrame:
+    """(a, b) of units in the same group whose exact similarity is high enough; candidates: (group, unit, body), units distinct.
+
+    Groups are closures of collisions and may be long chains, so those of more than ``block`` paragraphs are not verified as a whole
+    but by the band keys they collided in: a paragraph goes to as many tasks as there are bands.
+    """
+    sized = candidates.join(candidates.groupBy("group").agg(F.count("*").alias("size")).where("size > 1"), "group")
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [body_keys(body, bands) for body in batch.column(2).to_pylist()]
+            if keys:
+                at = pa.array(np.repeat(np.arange(len(keys)), bands))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), batch.column(1).take(at), batch.column(2).take(at)], ["key", "unit", "body"])
+
+    whole = _links_in_groups(sized.where(F.col("size") <= block).repartition(tasks, "group"), "group", similarity)
+    chains = sized.where(F.col("size") > block).select("group", "unit", "body").mapInArrow(keyed, "key long, unit long, body binary")
+    return whole.unionByName(_links_in_groups(chains.repartition(tasks, "key"), "key", similarity))
 
 
 def paragraph_dedup(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, least_words: int = LEAST_SPAN_WORDS) -> DataFrame:
@@ -271,12 +293,13 @@ def paragraph_dedup(docs: DataFrame, similarity: float = SIMILARITY, recall: flo
     size = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(tasks, 1 + size // 64_000_000)
-    links = stored(candidate_links(keyed, buckets, tune_bands(similarity, recall)))
+    bands = tune_bands(similarity, recall)
+    links = stored(candidate_links(keyed, buckets, bands))
     near = components(links.where("a <> b")).select(F.col("node").alias("unit"), F.col("component").alias("group"))
     groups = stored(near.unionByName(links.where("a = b").select(F.col("a").alias("unit"), F.col("a").alias("group")).join(near, "unit", "left_anti")))
     found = stored(places(keyed).join(groups.hint("shuffle_hash"), "unit"))
     candidates = found.join(near.select("unit"), "unit", "left_semi").groupBy("group", "unit").agg(F.first("body").alias("body"))
-    classes = components(stored(verified_links(candidates, similarity, tasks=max(tasks, 1 + size // 8_000_000))))
+    classes = components(stored(verified_links(candidates, bands, similarity, tasks=max(tasks, 1 + size // 8_000_000))))
     of = found.select("doc", "row", "unit", "start", "stop", "n_words").join(classes.withColumnRenamed("node", "unit"), "unit", "left").withColumn("class", F.coalesce("component", "unit"))
     keeper = of.groupBy("class").agg(F.min("doc").alias("keeper"))
     gone = of.join(keeper, "class").where("doc > keeper").groupBy("doc", "row").agg(F.collect_list(F.struct("start", "stop", "class", "n_words")).alias("gone"))

@@ -4,6 +4,7 @@ import hashlib
 import math
 import os
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -206,29 +207,55 @@ def test_paragraph_dedup_by_rows_and_passages(spark):
     assert sorted(got, key=str) == sorted([(i, len(t or ""), len(long) - 1 if n == 3 else 0) for n, (i, t) in enumerate(rows)], key=str)
 
 
-def test_similar_paragraphs_equal_all_pairs():
-    rng = random.Random(3)
-    bodies = [" ".join(rng.choices(WORDS, k=30)) for _ in range(15)]
-    bodies += [b.replace(b.split()[k], "changed", 1) for b in bodies for k in (0, 15)]
+def all_pairs(bodies):
     sets = [{tuple(b.split()[i : i + 5]) for i in range(len(b.split()) - 4)} for b in bodies]
-    forest, found = common.Forest(), common.Forest()
+    forest = common.Forest()
     for a in range(len(sets)):
         for b in range(a):
             if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
                 forest.link(a, b)
-    for a, b in passages.similar(list(range(len(bodies))), [b.encode() for b in bodies], [0] * len(bodies), 0.8):
+    return [forest.root(i) for i in range(len(sets))]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_similar_paragraphs_equal_all_pairs(seed):
+    rng = random.Random(seed)
+    bodies = [" ".join(rng.choices(WORDS, k=30)) for _ in range(15)]
+    bodies += [b.replace(b.split()[k], "changed", 1) for b in bodies for k in (0, 15)]
+    for _ in range(25):  # chains: each one word away from the one before
+        w = rng.choice(bodies[-25:]).split()
+        w[rng.randrange(len(w))] = "w" + str(rng.randrange(50))
+        bodies.append(" ".join(w))
+    rng.shuffle(bodies)
+    found = common.Forest()
+    for a, b in passages.similar(list(range(len(bodies))), [b.encode() for b in bodies], 0.8):
         found.link(a, b)
-    assert [found.root(i) for i in range(len(sets))] == [forest.root(i) for i in range(len(sets))]
-    assert len({forest.root(i) for i in range(len(sets))}) < len(sets)
+    want = all_pairs(bodies)
+    assert [found.root(i) for i in range(len(bodies))] == want and len(set(want)) < len(bodies)
 
 
-def test_verified_links_in_blocks(spark):
+@pytest.mark.parametrize("block", [7, 1500])
+def test_verified_links_in_large_groups(spark, block):
+    """Whole groups and band keys give the same classes, up to the recall of the bands."""
     rng = random.Random(4)
-    base = " ".join(rng.choices(WORDS, k=40))
-    rows = [(1, i, (base + f" tail{i}").encode()) for i in range(30)]
-    links = passages.verified_links(spark.createDataFrame(rows, "group long, unit long, body binary"), block=7)
+    base = " ".join(rng.choices(WORDS, k=60))
+    rows = [(1, i, (base + f" tail{i}").encode()) for i in range(40)]
+    links = passages.verified_links(spark.createDataFrame(rows, "group long, unit long, body binary"), passages.tune_bands(), block=block)
     got = {r["component"] for r in common.components(links).collect()}
-    assert got == {0} and common.components(links).count() == 30
+    assert got == {0} and common.components(links).count() == 40
+
+
+def test_chain_of_similar_paragraphs_costs_in_proportion(spark):
+    """A chain of 20,000 paragraphs, each like the next: candidates are one closure, verified by band keys."""
+    rng = random.Random(11)
+    words, rows = rng.choices(WORDS, k=60), []
+    for i in range(20_000):
+        words = [*words[1:], f"w{rng.randrange(10**6)}"]
+        rows.append((1, i, " ".join(words).encode()))
+    df = spark.createDataFrame(rows, "group long, unit long, body binary").repartition(8)
+    began = time.time()
+    sizes = common.components(passages.verified_links(df, passages.tune_bands(0.8, 0.99))).groupBy("component").count()
+    assert sizes.agg({"count": "max"}).first()[0] > 100 and time.time() - began < 180
 
 
 @pytest.mark.parametrize("block", [1 << 20, 40])
