@@ -299,6 +299,7 @@ def paragraph_dedup(docs: DataFrame, similarity: float = SIMILARITY, recall: flo
     groups = stored(near.unionByName(links.where("a = b").select(F.col("a").alias("unit"), F.col("a").alias("group")).join(near, "unit", "left_anti")))
     found = stored(places(keyed).join(groups.hint("shuffle_hash"), "unit"))
     candidates = found.join(near.select("unit"), "unit", "left_semi").groupBy("group", "unit").agg(F.first("body").alias("body"))
+    candidates = stored(candidates)  # read by group and by band key
     classes = components(stored(verified_links(candidates, bands, similarity, tasks=max(tasks, 1 + size // 8_000_000))))
     of = found.select("doc", "row", "unit", "start", "stop", "n_words").join(classes.withColumnRenamed("node", "unit"), "unit", "left").withColumn("class", F.coalesce("component", "unit"))
     keeper = of.groupBy("class").agg(F.min("doc").alias("keeper"))
