@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .relational import values_at
+
 #: A metric's tolerance: the bad direction (up, down), the allowance, whether it is a share of the baseline.
 Tolerance = tuple[str, float, bool]
 
@@ -68,8 +70,8 @@ def grid(rows: DataFrame, column: str, most: int) -> DataFrame:
     values = rows.select(column).distinct()
     if values.limit(most + 1).count() <= most:
         return values.select(F.col(column).cast("double").alias("t"))
-    shares = F.array(*[F.lit(i / (most - 1)) for i in range(most)])
-    return values.agg(F.percentile(column, shares).alias("q")).select(F.explode("q").alias("t")).distinct()
+    at = values_at(values, column, {f"q{i}": lambda n, i=i: (n - 1) * F.lit(i / (most - 1)) for i in range(most)})
+    return at.select(F.explode(F.array(*[F.col(c).cast("double") for c in at.columns])).alias("t")).distinct()
 
 
 def joint_sweep(rows: DataFrame, a: str, b: str, fp_cost: float, fn_cost: float, most: int = 40) -> DataFrame:

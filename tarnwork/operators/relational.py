@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,13 +65,31 @@ def mean_ranks(df: DataFrame, column: str, name: str) -> DataFrame:
     return running_counts(df, column).select(F.col("value").alias(column), (F.col("before") + (F.col("rows") + 1) / 2).alias(name))
 
 
+def values_at(df: DataFrame, value: str, places: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """One row: the values at places (from 0) in the order of all of a column's values; places are given the number of values.
+
+    A place between two whole numbers lies as far between their values; NULLs do not count; no task sorts all values.
+    """
+    counts = running_counts(df, value)
+    known = counts.join(F.broadcast(counts.agg(F.sum("rows").alias("n"))))  # one row
+    upto = F.col("before") + F.col("rows")
+    least = lambda at: F.min(F.when(upto > at, F.col("value")))
+    of = {name: at(F.col("n")).cast("double") for name, at in places.items()}
+    ends = known.agg(*[x for name, at in of.items() for x in (least(F.floor(at)).alias(f"{name}_lo"), least(F.ceil(at)).alias(f"{name}_hi"), F.max(at - F.floor(at)).alias(f"{name}_part"))])
+    between = lambda name: F.when(F.col(f"{name}_part") == 0, F.col(f"{name}_lo")).otherwise(F.col(f"{name}_lo") + F.col(f"{name}_part") * (F.col(f"{name}_hi") - F.col(f"{name}_lo")))
+    return ends.select(*[between(name).alias(name) for name in places])
+
+
 def index_quantiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
     """(keys, one column a share): the value at index floor(n * share) from 0, the last at most, of each key's sorted values.
 
-    From counts of distinct values, combined before the shuffle; no key's rows are gathered in one row.
+    From counts of distinct values, combined before the shuffle; no key's rows are gathered in one row, and without keys no
+    task orders all values.
     """
+    at = lambda n, q: F.least(F.floor(n * F.lit(q)), n - 1)
+    if not keys:
+        return values_at(df, value, {c: lambda n, q=q: at(n, q) for c, q in shares.items()})
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("k"))
     upto = F.sum("k").over(Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
     ranked = counts.withColumn("upto", upto).withColumn("n", F.sum("k").over(Window.partitionBy(*keys)))
-    at = lambda q: F.least(F.floor(F.col("n") * F.lit(q)), F.col("n") - 1)
-    return ranked.groupBy(*keys).agg(*[F.min(F.when(F.col("upto") > at(q), F.col(value))).alias(c) for c, q in shares.items()])
+    return ranked.groupBy(*keys).agg(*[F.min(F.when(F.col("upto") > at(F.col("n"), q), F.col(value))).alias(c) for c, q in shares.items()])

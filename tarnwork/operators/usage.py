@@ -7,14 +7,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import nearest_rank
-from .relational import index_quantiles, top_k_per
+from .relational import top_k_per, values_at
 
 
 def cost_summary(costs: DataFrame) -> DataFrame:
     """One row over (user_id, cost): users, total, mean, median (of an even number the mean of the two), p90 and p95 at index floor(n * share)."""
-    s = costs.agg(F.count("*").alias("users"), F.sum("cost").alias("total"), F.avg("cost").alias("mean"), F.median("cost").alias("median"))
-    q = index_quantiles(costs, [], "cost", {"p90": 0.9, "p95": 0.95})
+    s = costs.agg(F.count("*").alias("users"), F.sum("cost").alias("total"), F.avg("cost").alias("mean"))
+    at = lambda q: lambda n: F.least(F.floor(n * F.lit(q)), n - 1)
+    q = values_at(costs, "cost", {"median": lambda n: (n - 1) / 2, "p90": at(0.9), "p95": at(0.95)})
     return s.join(F.broadcast(q))  # one row each
 
 
@@ -28,7 +28,7 @@ def load_summary(requests: DataFrame, slo_seconds: float) -> DataFrame:
     s = requests.agg(
         F.count("*").alias("offered"), F.count_if("warmup").alias("warmup"), F.count_if(measured).alias("measured"), F.count_if(measured & ok).alias("ok"),
         F.count_if(measured & ok & (F.col("response") <= slo_seconds)).alias("within_slo"), (F.max(F.when(measured, F.col("finished"))) - F.min(F.when(measured, F.col("scheduled")))).alias("window"))
-    p = requests.where(measured & ok).agg(nearest_rank("response", 0.5).alias("p50"), nearest_rank("response", 0.95).alias("p95"))
+    p = values_at(requests.where(measured & ok), "response", {name: lambda n, q=q: F.greatest(F.ceil(n * F.lit(q)), F.lit(1)) - 1 for name, q in (("p50", 0.5), ("p95", 0.95))})
     s = s.withColumn("window", F.greatest("window", F.lit(1e-9)))
     return s.withColumn("throughput", F.col("ok") / F.col("window")).withColumn("goodput", F.col("within_slo") / F.col("window")).join(F.broadcast(p))  # one row each
 

@@ -100,10 +100,13 @@ def price_longest_prefix(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT l_returnflag, l_linestatus, grouping(l_returnflag) + 0 AS g1, grouping(l_linestatus) + 0 AS g2, count(*) AS calls, CAST(sum(l_quantity) AS BIGINT) AS tokens, round(sum(l_extendedprice * (1 - l_discount)), 2) AS cost,
 count(*) FILTER (l_discount = 0) AS unpriced FROM lineitem GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_returnflag), ())""")
 def cost_grouping_sets(spark: SparkSession, d: str) -> DataFrame:
-    table(spark, d, "lineitem").createOrReplaceTempView("_usage")
-    return spark.sql("""SELECT l_returnflag, l_linestatus, CAST(grouping(l_returnflag) AS INT) AS g1, CAST(grouping(l_linestatus) AS INT) AS g2, count(*) AS calls, CAST(sum(l_quantity) AS BIGINT) AS tokens,
-      round(sum(CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(30, 10))), 2) * 1D AS cost, count_if(l_discount = 0) AS unpriced
-      FROM _usage GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_returnflag), ())""")
+    usage = table(spark, d, "lineitem")
+    priced = F.sum((F.col("l_extendedprice") * (1 - F.col("l_discount"))).cast("decimal(30,10)"))
+    sets = usage.groupingSets([["l_returnflag", "l_linestatus"], ["l_returnflag"], []], "l_returnflag", "l_linestatus")
+    return sets.agg(
+        F.grouping("l_returnflag").cast("int").alias("g1"), F.grouping("l_linestatus").cast("int").alias("g2"), F.count("*").alias("calls"), F.sum("l_quantity").cast("long").alias("tokens"),
+        F.round(priced, 2).cast("double").alias("cost"), F.count_if(F.col("l_discount") == 0).alias("unpriced"),
+    )
 
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
@@ -204,9 +207,11 @@ def activation(spark: SparkSession, d: str) -> DataFrame:
     return signed.join(active, "user_id", "left").agg(F.count("*").alias("signed_up"), F.count("active").alias("activated"))
 
 
-@query("SELECT user_id, count(*) AS n, count(DISTINCT event_type) AS kinds FROM events GROUP BY user_id ORDER BY n DESC, user_id LIMIT 10")
+@query("SELECT user_id, count(*) AS n, count(DISTINCT event_type) AS kinds FROM events GROUP BY user_id HAVING count(*) FILTER (event_type = 'purchase') >= 3")
 def power_users(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.countDistinct("event_type").alias("kinds")).orderBy(F.desc("n"), "user_id").limit(10)
+    """Users with three purchases or more."""
+    by = table(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.countDistinct("event_type").alias("kinds"), F.count(F.when(F.col("event_type") == "purchase", 1)).alias("bought"))
+    return by.where("bought >= 3").drop("bought")
 
 
 @query("SELECT event_type, CAST(json_extract(props, '$.k') AS INT) AS k, count(*) AS n, count(DISTINCT user_id) AS users, round(avg(value), 6) AS mean FROM events GROUP BY 1, 2")
