@@ -29,7 +29,7 @@ SCALE = 2_000_000
 KEEP_PERCENT = 80
 TOP = 2000
 #: Words of all languages that a task indexes at a time.
-SHARD_WORDS = 2_000_000
+SHARD_WORDS = 1_000_000
 #: Bytes of a text that are split into words at a time.
 CHUNK_BYTES = 1_000_000
 BITMAP_BITS = 1 << 26
