@@ -127,7 +127,7 @@ _NO = ["the", "and", "for", "with", "from", "into", "using", "study", "paper"]
 SELECT a.id AS left_id, b.id AS right_id, round(len(list_intersect(a.w, b.w)) / greatest(len(a.w), len(b.w)), 6) AS similarity FROM t a, t b WHERE a.id % 100 = 0 AND len(a.w) > 0 AND len(b.w) > 0 AND len(list_intersect(a.w, b.w)) / greatest(len(a.w), len(b.w)) >= 0.72""")
 def title_max_similarity(spark: SparkSession, d: str) -> DataFrame:
     words = table(spark, d, "part").select("p_partkey", F.filter(word_set(F.col("p_name")), lambda w: ~w.isin(_NO)).alias("words"))
-    found = texts.similar_titles(words.where("p_partkey % 100 = 0").withColumnRenamed("p_partkey", "left_id"), words.withColumnRenamed("p_partkey", "right_id"), 0.72, "largest")
+    found = texts.similar_to_sets(words.where("p_partkey % 100 = 0").withColumnRenamed("p_partkey", "left_id"), words.withColumnRenamed("p_partkey", "right_id"), 0.72, "largest")
     return found.select("left_id", "right_id", rounded("similarity").alias("similarity"))
 
 

@@ -71,7 +71,7 @@ SELECT a.id AS left_id, b.id AS right_id, round(len(list_intersect(a.w, b.w)) /
 FROM t a, t b WHERE a.id % 100 = 0 AND len(a.w) > 0 AND len(b.w) > 0 AND len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) >= 0.6""")
 def title_jaccard(spark: SparkSession, d: str) -> DataFrame:
     words = table(spark, d, "part").select("p_partkey", title_words(F.col("p_name"), 2, TITLE_STOPWORDS, joined=True).alias("words"))
-    found = texts.similar_titles(words.where("p_partkey % 100 = 0").withColumnRenamed("p_partkey", "left_id"), words.withColumnRenamed("p_partkey", "right_id"), 0.6)
+    found = texts.similar_to_sets(words.where("p_partkey % 100 = 0").withColumnRenamed("p_partkey", "left_id"), words.withColumnRenamed("p_partkey", "right_id"), 0.6)
     return found.select("left_id", "right_id", rounded("similarity").alias("similarity"))
 
 
@@ -82,7 +82,7 @@ _LONG_WORDS = "list_distinct(list_filter(regexp_extract_all(lower(text), '[\\p{L
 SELECT item_id AS left_id, doc_id AS right_id, round(len(list_intersect(b.w, d.w)) / least(len(b.w), len(d.w)), 6) AS similarity FROM b, d WHERE len(b.w) > 0 AND len(d.w) > 0 AND len(list_intersect(b.w, d.w)) / least(len(b.w), len(d.w)) >= 0.6""")
 def title_containment(spark: SparkSession, d: str) -> DataFrame:
     words = lambda name, key, to: table(spark, d, name).select(F.col(key).alias(to), title_words(F.col("text"), 3).alias("words"))
-    found = texts.similar_titles(words("benchmark", "item_id", "left_id"), words("documents", "doc_id", "right_id"), 0.6, "containment")
+    found = texts.similar_to_sets(words("benchmark", "item_id", "left_id"), words("documents", "doc_id", "right_id"), 0.6, "containment")
     return found.select("left_id", "right_id", rounded("similarity").alias("similarity"))
 
 

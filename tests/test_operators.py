@@ -94,6 +94,8 @@ def test_similar_titles_equal_all_pairs(spark):
     words = [df.withColumn("words", columns.title_words(F.col("title"), 2)).drop("title") for df in (left, right)]
     for measure, want in (("jaccard", jaccard), ("containment", contain), ("largest", largest)):
         assert {r[:2] for r in rows(texts.similar_titles(*words, 0.6, measure))} == want
+        assert {r[:2] for r in rows(texts.similar_to_sets(*words, 0.6, measure))} == want
+        assert rows(texts.similar_to_sets(words[0].limit(0), words[1], 0.6, measure)) == []
 
 
 def test_normalisers(spark):
