@@ -29,6 +29,8 @@ LEAST_SPAN_WORDS = 20
 BATCH_BYTES = 4_000_000
 #: Candidate groups with more paragraphs are verified by their band keys.
 BLOCK = 1500
+#: Up to so many paragraphs are compared with another one by one.
+FEW = 24
 
 _POWER, _INVERSE = np.uint64(0x5851F42D4C957F2D), np.uint64(pow(0x5851F42D4C957F2D, -1, 1 << 64))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -194,31 +196,55 @@ def places(rows: DataFrame) -> DataFrame:
     return rows.select("doc", "row", "text").mapInArrow(run, "doc long, row long, unit long, start long, stop long, n_words int, body binary")
 
 
-def similar(units: list[int], bodies: list[bytes], similarity: float) -> list[tuple[int, int]]:
+def whole_bodies(bodies: list[bytes]) -> dict[str, np.ndarray]:
+    """As ``paragraphs``, each of the texts as one paragraph; none of them is without words."""
+    p = paragraphs(bodies)
+    begins = np.flatnonzero(np.r_[True, p["text"][1:] != p["text"][:-1]])
+    first, last = p["first"][begins], p["last"][np.r_[begins[1:], len(p["last"])] - 1]
+    return {"first": first, "last": last, "words": p["words"], "unit": _ranges(p["words"], first, last)}
+
+
+def shingle_sets(bodies: list[bytes]) -> list[np.ndarray]:
+    """The distinct shingles of each paragraph, in order; one shorter one where it has fewer words."""
+    p = whole_bodies(bodies)
+    h = shingles(p["words"])
+    short = p["last"] - p["first"] < SHINGLE_WORDS
+    return [u[None] if few else np.unique(h[a : b - SHINGLE_WORDS + 1]) for a, b, u, few in zip(p["first"].tolist(), p["last"].tolist(), p["unit"], short.tolist())]
+
+
+def similar(units: list[int], sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
     """Links that join what chains of pairs with an exact Jaccard similarity of at least ``similarity`` join.
 
     The paragraph that shares most shingles with the others is compared with all of them, then every one that it is not similar to:
     two that are similar to it are joined already.  So a group of near copies costs time in proportion to its paragraphs.
     """
-    sets = []
-    for body in bodies:
-        p = paragraphs([body])
-        n = len(p["words"])
-        sets.append(np.unique(shingles(p["words"])[: max(1, n - SHINGLE_WORDS + 1)] if n >= SHINGLE_WORDS else p["unit"]))
     sizes = np.array([len(s) for s in sets])
     every, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
     order = np.argsort(every, kind="stable")
     every, of = every[order], of[order]
     ends = np.cumsum(sizes)
-    met_all = np.searchsorted(every, np.concatenate(sets), "right") - np.searchsorted(every, np.concatenate(sets), "left")
-    hub = int(np.add.reduceat(met_all, ends - sizes).argmax())
+    whole = np.concatenate(sets)
+    low = np.searchsorted(every, whole, "left")
+    count = np.searchsorted(every, whole, "right") - low  # paragraphs that have each shingle
+    hub = int(np.add.reduceat(count, ends - sizes).argmax())
+
+    def having(at: np.ndarray) -> np.ndarray:
+        n = count[at]
+        return of[np.repeat(low[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+
     forest, links, joined = Forest(), [], np.zeros(len(sets), bool)
     for i in [hub, *(i for i in range(len(sets)) if i != hub)]:
         if joined[i]:
             continue
-        a, b = np.searchsorted(every, sets[i], "left"), np.searchsorted(every, sets[i], "right")
-        n = b - a
-        j, common = np.unique(of[np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())], return_counts=True)
+        at = np.arange(ends[i] - sizes[i], ends[i])
+        few = sizes[i] - int(np.ceil(similarity * sizes[i] - 1e-9)) + 1  # of any so many shingles a similar paragraph has one
+        j = np.unique(having(at[np.argsort(count[at], kind="stable")[:few]]))
+        if len(j) == 1:
+            continue
+        if len(j) <= FEW:
+            common = np.array([np.isin(sets[k], sets[i], assume_unique=True).sum() for k in j.tolist()])
+        else:
+            j, common = np.unique(having(at), return_counts=True)
         near = j[(common >= similarity * (sizes[i] + sizes[j] - common) - 1e-9) & (j != i)]
         if i == hub:
             joined[near] = True
@@ -228,18 +254,11 @@ def similar(units: list[int], bodies: list[bytes], similarity: float) -> list[tu
     return links
 
 
-def body_keys(body: bytes, bands: int) -> np.ndarray:
-    """Band keys of a paragraph from its bytes."""
-    words = paragraphs([body])["words"]
-    first, last = np.array([0]), np.array([len(words)])
-    return band_keys({"first": first, "last": last, "words": words, "unit": _ranges(words, first, last)}, bands)[:, 0]
-
-
 def _links_in_groups(rows: DataFrame, group: str, similarity: float) -> DataFrame:
     """(a, b): links within each group of rows (group, unit, body), sorted by group within their partitions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, bytes]] = []
+        held: list[tuple[int, np.ndarray]] = []
         links: list[tuple[int, int]] = []
         now = None
 
@@ -248,12 +267,13 @@ def _links_in_groups(rows: DataFrame, group: str, similarity: float) -> DataFram
                 links.extend(similar([h[0] for h in held], [h[1] for h in held], similarity))
             held.clear()
 
-        for batch in batches:
-            for g, unit, body in zip(*(batch.column(c).to_pylist() for c in range(3))):
+        for batch in slices(batches, BATCH_BYTES, 2):
+            sets = shingle_sets(batch.column(2).to_pylist())
+            for g, unit, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), sets):
                 if g != now:
                     close()
                     now = g
-                held.append((unit, body))
+                held.append((unit, found))
         close()
         yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in links], pa.int64()) for k in (0, 1)], ["a", "b"])
 
@@ -269,11 +289,10 @@ def verified_links(candidates: DataFrame, bands: int, similarity: float = SIMILA
     sized = candidates.join(candidates.groupBy("group").agg(F.count("*").alias("size")).where("size > 1"), "group")
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = [body_keys(body, bands) for body in batch.column(2).to_pylist()]
-            if keys:
-                at = pa.array(np.repeat(np.arange(len(keys)), bands))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), batch.column(1).take(at), batch.column(2).take(at)], ["key", "unit", "body"])
+        for batch in slices(batches, BATCH_BYTES, 2):
+            keys = band_keys(whole_bodies(batch.column(2).to_pylist()), bands).T
+            at = pa.array(np.repeat(np.arange(len(keys)), bands))
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(keys).ravel().view(np.int64)), batch.column(1).take(at), batch.column(2).take(at)], ["key", "unit", "body"])
 
     whole = _links_in_groups(sized.where(F.col("size") <= block).repartition(tasks, "group"), "group", similarity)
     chains = sized.where(F.col("size") > block).select("group", "unit", "body").mapInArrow(keyed, "key long, unit long, body binary")

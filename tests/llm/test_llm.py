@@ -228,7 +228,7 @@ def test_similar_paragraphs_equal_all_pairs(seed):
         bodies.append(" ".join(w))
     rng.shuffle(bodies)
     found = common.Forest()
-    for a, b in passages.similar(list(range(len(bodies))), [b.encode() for b in bodies], 0.8):
+    for a, b in passages.similar(list(range(len(bodies))), passages.shingle_sets([b.encode() for b in bodies]), 0.8):
         found.link(a, b)
     want = all_pairs(bodies)
     assert [found.root(i) for i in range(len(bodies))] == want and len(set(want)) < len(bodies)
