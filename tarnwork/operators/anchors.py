@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.stored import stored
+
 # How citations are written, in the order in which they are looked for.
 CITATION_PATTERNS = {
     "parenthetical": r"\(([A-Z][a-z]+(?:\s+et\s+al\.)?)(?:,\s+|\s+)(\d{4}[a-z]?)\)",
@@ -142,23 +144,24 @@ def locate_snippets(snippets: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def _grams(text: Column, size: int) -> Column:
-    """The distinct runs of ``size`` characters of a text."""
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - size + 1), lambda i: F.substring(text, i, F.lit(size))))
+    """The distinct runs of ``size`` characters of a text; in time in proportion to it, as a regular expression looks ahead from each place."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)))
 
 
 def contained_in(strings: DataFrame, texts: DataFrame, gram: int = GRAM) -> DataFrame:
     """(string_id, text_id): strings (string_id, string) that occur in texts (text_id, text) as they are.
 
     A string of ``gram`` characters or more is looked for by one of its runs of that length, the one that fewest texts have, so texts and
-    strings meet in an equi-join on rare runs and only these pairs are compared; shorter strings meet by runs of their own length.
-    Empty and null strings and texts take part in nothing.
+    strings meet in an equi-join on rare runs and only these pairs are compared; shorter strings meet by runs of their own length, each
+    length by itself.  Empty and null strings and texts take part in nothing.
     """
     wanted = strings.where("string <> ''").distinct().select("string_id", "string", F.least(F.length("string"), F.lit(gram)).alias("size"))
-    parts = []
-    for size in range(1, gram + 1):
+    sizes = sorted(r["size"] for r in wanted.select("size").distinct().collect())  # ``gram`` at most
+    parts = [wanted.join(texts.select("text_id"), F.lit(False)).select("string_id", "text_id")] if not sizes else []
+    for size in sizes:
         asked = wanted.where(F.col("size") == size).select("string_id", "string", F.explode(_grams(F.col("string"), size)).alias("run"))
-        said = texts.where(F.length("text") >= size).select("text_id", "text", F.explode(_grams(F.col("text"), size)).alias("run"))
-        met = said.select("text_id", "run").join(asked.select("run").distinct(), "run", "left_semi")
+        said = texts.where(F.length("text") >= size).select("text_id", F.explode(_grams(F.col("text"), size)).alias("run"))
+        met = stored(said.join(asked.select("run").distinct(), "run", "left_semi"))
         common = met.groupBy("run").agg(F.count("*").alias("n"))
         rarest = asked.join(common, "run").groupBy("string_id", "string").agg(F.count("*").alias("known"), F.min(F.struct("n", "run")).alias("r"))
         # a string all of whose runs are not known to the texts is in none of them

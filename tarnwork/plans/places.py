@@ -105,13 +105,13 @@ def repair_anchor(spark: SparkSession, d: str) -> DataFrame:
     return _located(spark, d).groupBy("way").agg(F.count("*").alias("n"))
 
 
-_PIECES = "pieces AS (SELECT item_id * 1000 + i AS string_id, l[i] AS string FROM (SELECT item_id, string_split(text, '. ') AS l FROM benchmark), unnest(range(1, len(l) + 1)) AS t(i) WHERE length(l[i]) > 0)"
+_PIECES = "pieces AS (SELECT item_id * 1000 + i AS string_id, l[i] AS string FROM (SELECT item_id, string_split(text, '. ') AS l FROM benchmark), unnest(range(1, len(l) + 1)) AS t(i) WHERE length(l[i]) >= 8)"
 
 
 @query(f"WITH {_PIECES} SELECT string_id, doc_id AS text_id FROM pieces JOIN documents ON contains(text, string)")
 def citation_edge_join(spark: SparkSession, d: str) -> DataFrame:
-    """Sentences of the benchmark that stand in documents as they are."""
-    pieces = table(spark, d, "benchmark").select("item_id", F.posexplode(F.split("text", r"\. ")).alias("i", "string")).select((F.col("item_id") * 1000 + F.col("i") + 1).alias("string_id"), "string")
+    """Sentences of the benchmark, of eight characters or more, that stand in documents as they are."""
+    pieces = table(spark, d, "benchmark").select("item_id", F.posexplode(F.split("text", r"\. ")).alias("i", "string")).select((F.col("item_id") * 1000 + F.col("i") + 1).alias("string_id"), "string").where("length(string) >= 8")
     return anchors.contained_in(pieces, table(spark, d, "documents").select(F.col("doc_id").alias("text_id"), "text"))
 
 
