@@ -26,7 +26,7 @@ RECALL = 0.99
 ROWS = 2
 LONG_SENTENCE = 6
 LEAST_SPAN_WORDS = 20
-BATCH_BYTES = 4_000_000
+BATCH_BYTES, BODY_BYTES = 4_000_000, 250_000
 #: Candidate groups with more paragraphs are verified by their band keys.
 BLOCK = 1500
 #: Up to so many paragraphs are compared with another one by one.
@@ -267,7 +267,7 @@ def _links_in_groups(rows: DataFrame, group: str, similarity: float) -> DataFram
                 links.extend(similar([h[0] for h in held], [h[1] for h in held], similarity))
             held.clear()
 
-        for batch in slices(batches, BATCH_BYTES, 2):
+        for batch in slices(batches, BODY_BYTES, 2):
             sets = shingle_sets(batch.column(2).to_pylist())
             for g, unit, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), sets):
                 if g != now:
@@ -289,7 +289,7 @@ def verified_links(candidates: DataFrame, bands: int, similarity: float = SIMILA
     sized = candidates.join(candidates.groupBy("group").agg(F.count("*").alias("size")).where("size > 1"), "group")
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, BATCH_BYTES, 2):
+        for batch in slices(batches, BODY_BYTES, 2):
             keys = band_keys(whole_bodies(batch.column(2).to_pylist()), bands).T
             at = pa.array(np.repeat(np.arange(len(keys)), bands))
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(keys).ravel().view(np.int64)), batch.column(1).take(at), batch.column(2).take(at)], ["key", "unit", "body"])
