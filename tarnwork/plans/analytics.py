@@ -112,7 +112,8 @@ def cost_grouping_sets(spark: SparkSession, d: str) -> DataFrame:
 def _scored(spark: SparkSession, d: str) -> DataFrame:
     """Labels with a score from the length of the text."""
     docs = table(spark, d, "documents").select("doc_id", F.least(F.lit(1.0), F.col("n_chars") / 4000.0).alias("score"))
-    return table(spark, d, "labels").join(docs, "doc_id").select(F.col("quality").alias("y"), F.round("score", 2).alias("score"), "toxic")
+    # as SQL rounds doubles: 0.575 * 100 is a little under 57.5, where a decimal 0.575 would go up
+    return table(spark, d, "labels").join(docs, "doc_id").select(F.col("quality").alias("y"), (F.round(F.col("score") * 100) / 100).alias("score"), "toxic")
 
 
 _SCORED = "scored AS (SELECT quality AS y, round(least(1.0, n_chars / 4000.0), 2) AS score, toxic FROM labels JOIN documents USING (doc_id))"
