@@ -66,21 +66,35 @@ def link(spans: DataFrame, order: list[str]) -> DataFrame:
 
 
 def nearest_known(linked: DataFrame, value: Column) -> DataFrame:
-    """(trace_id, span_id, value): the span's own value, else that of the nearest ancestor that has one (NULL: none, or a cycle).
+    """(trace_id, span_id, value): the span's own value, else that of the nearest ancestor that has one (NULL: none, or a cycle)."""
+    return nearest_values(linked, {"value": value})
 
-    Pointer doubling: each round joins every open span to the one its pointer has reached, so a depth of n takes
-    log2(n) joins, whatever the shape of the trees.
+
+def nearest_values(linked: DataFrame, values: dict[str, Column], also: list[str] | None = None) -> DataFrame:
+    """(trace_id, span_id, *also, *values): each by itself as ``nearest_known``, found together; ``also``: columns of the span that stay.
+
+    Pointer doubling: each round joins every open span to the one its pointer has reached, so a depth of n takes log2(n)
+    joins, whatever the shape of the trees and the number of values; spans that know all, or have reached a root, are not joined any more.
     """
-    now = stored(linked.select("trace_id", "span_id", F.when(value.isNull(), F.col("parent_id")).alias("up"), value.alias("value")))
+    names, kept = list(values), ["trace_id", "span_id", *(also or [])]
+
+    def going(known: list[Column], up: Column) -> Column:
+        unknown = F.lit(False)
+        for c in known:
+            unknown |= c.isNull()
+        return F.when(unknown, up).alias("up")
+
+    now = stored(linked.select(*kept, going(list(values.values()), F.col("parent_id")), *[c.alias(n) for n, c in values.items()]))
     rounds = 1 + ceil(log2(1 + now.count()))
     while rounds and not now.where("up IS NOT NULL").isEmpty():
-        above = now.select(F.col("trace_id").alias("_t"), F.col("span_id").alias("_s"), F.col("up").alias("_up"), F.col("value").alias("_value"))
-        step = now.join(above, (F.col("trace_id") == F.col("_t")) & (F.col("up") == F.col("_s")), "left")
-        got = F.coalesce("value", "_value")
-        nxt = stored(step.select("trace_id", "span_id", F.when(got.isNull(), F.col("_up")).alias("up"), got.alias("value")))
+        above = now.select(F.col("trace_id").alias("_t"), F.col("span_id").alias("_s"), F.col("up").alias("_up"), *[F.col(n).alias(f"_{n}") for n in names])
+        step = now.where("up IS NOT NULL").join(above, (F.col("trace_id") == F.col("_t")) & (F.col("up") == F.col("_s")), "left")
+        got = [F.coalesce(n, f"_{n}") for n in names]
+        moved = step.select(*kept, going(got, F.col("_up")), *[c.alias(n) for n, c in zip(names, got)])
+        nxt = stored(moved.unionByName(now.where("up IS NULL")))
         dropped(now)
         now, rounds = nxt, rounds - 1
-    return now.select("trace_id", "span_id", "value")
+    return now.select(*kept, *names)
 
 
 def usage(calls: DataFrame, keys: list[str]) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import rounded
 from ..operators import spans as S
+from ..sources.stored import stored
 from ..sources.tables import table
 from .registry import query
 
@@ -175,9 +176,7 @@ identity AS (SELECT s.trace_id, s.span_id, coalesce(n.node, s.name) AS node, n.r
 
 def identities(linked: DataFrame) -> DataFrame:
     """(trace_id, span_id, node, reviewer, paper, draft, model, origin): each attribute from the span or its nearest ancestor that has it."""
-    found = linked.select("trace_id", "span_id", "name", "model")
-    for c in ("node", "reviewer", "paper", "draft"):
-        found = found.join(S.nearest_known(linked, F.col(c)).withColumnRenamed("value", c), ["trace_id", "span_id"])
+    found = S.nearest_values(linked, {c: F.col(c) for c in ("node", "reviewer", "paper", "draft")}, ["name", "model"])
     none = F.lit(None).cast("string")
     return found.select("trace_id", "span_id", F.coalesce("node", "name").alias("node"), "reviewer", "paper", "draft", "model", S.origin(F.col("paper"), none, F.col("draft"), none).alias("origin"))
 
@@ -193,7 +192,7 @@ known AS (SELECT DISTINCT fingerprint FROM cases WHERE span_id % 10 = 0)
 SELECT rule, span_id, fingerprint, CASE WHEN fingerprint IN (SELECT fingerprint FROM known) THEN 'known' WHEN row_number() OVER (PARTITION BY fingerprint ORDER BY span_id) = 1 THEN 'new' ELSE 'repeated' END AS outcome FROM cases""")
 def case_dedup_append(spark: SparkSession, d: str) -> DataFrame:
     """Cases by fingerprint; those of every tenth span stand for the manifest of earlier batches."""
-    linked = linked_spans(spark, d)
+    linked = stored(linked_spans(spark, d))
     target = F.coalesce("paper", "draft")
     cases = S.rule_hits(linked).join(identities(linked), ["trace_id", "span_id"]).select("rule", "span_id", S.case_fingerprint(F.col("rule"), F.col("node"), F.col("reviewer"), target, F.col("model")).alias("fingerprint"))
     return S.new_cases(cases, cases.where("span_id % 10 = 0"), ["span_id"])
