@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.wording import is_verbatim
 from .consolidation import of_equal_length, pairs_in_groups, unit
 from .relational import first_wins, latest_wins, top_k_per
+from .texts import together
 
 #: The shortest and longest claim that is a query; verdicts that need a quotation.
 CLAIM_CHARS = (40, 600)
@@ -108,7 +109,7 @@ def near_in_group(left: DataFrame, right: DataFrame, group: str, least: float) -
 def topic_terms(docs: DataFrame, without: list[str], most: int) -> DataFrame:
     """(doc_id, term, n, rank): the most frequent terms of each text; of equally frequent ones the first in it."""
     words = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z][a-z0-9-]{3,}"), F.lit(0))
-    each = docs.select("doc_id", F.posexplode(words).alias("place", "term")).where(~F.col("term").isin(without))
+    each = together(docs, "doc_id", "text").select("doc_id", F.posexplode(words).alias("place", "term")).where(~F.col("term").isin(without))
     counts = each.groupBy("doc_id", "term").agg(F.count("*").alias("n"), F.min("place").alias("first"))
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("n"), "first"))
     return counts.withColumn("rank", rank).where(F.col("rank") <= most).select("doc_id", "term", "n", "rank")
