@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -90,13 +92,17 @@ def section_type(title: Column, hint: Column) -> Column:
     """The kind of a section by its hint, else by the words in its title (10 for the title itself, 5 inside it, 3 inside the hint); introduction if nothing tells."""
     low_hint = F.trim(F.lower(F.coalesce(hint, F.lit(""))))
     clean = F.regexp_replace(F.trim(F.lower(F.coalesce(title, F.lit("")))), r"^[\d.\s]+", "")
+    # an array of one: title and hint are made once a row, not for each word
+    return F.transform(F.array(F.struct(clean.alias("clean"), low_hint.alias("hint"))), lambda x: _told(x["clean"], x["hint"]))[0]
+
+
+def _told(clean: Column, hint: Column) -> Column:
     scores = []
     for kind, words in SECTION_WORDS.items():
-        told = lambda total, w: total + F.when(clean == w, 10).when(F.contains(clean, w), 5).when((low_hint != "") & F.contains(low_hint, w), 3).otherwise(0)
-        points = F.aggregate(F.array(*[F.lit(w) for w in words]), F.lit(0), told)
+        points = reduce(Column.__add__, [F.when(clean == w, 10).when(F.contains(clean, F.lit(w)), 5).when((hint != "") & F.contains(hint, F.lit(w)), 3).otherwise(0) for w in words])
         scores.append(F.struct(points.alias("points"), F.lit(-len(scores)).alias("first"), F.lit(kind).alias("kind")))
     best = F.array_max(F.array(*scores))
-    return F.coalesce(_direct(low_hint), F.when(best["points"] >= 3, best["kind"]), F.lit("introduction"))
+    return F.coalesce(_direct(hint), F.when(best["points"] >= 3, best["kind"]), F.lit("introduction"))
 
 
 def _direct(hint: Column) -> Column:
