@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.wording import normal_finding
+from ..sources.stored import stored
 from .relational import first_wins, latest_wins, top_k_per
 
 #: The least parser quality and page coverage of the two gates.
@@ -72,10 +73,12 @@ def merge_anchor_collisions(tasks: DataFrame, order: str) -> DataFrame:
     not name are its ``points``; ``duplicates`` counts them with what was merged.  Protected tasks, and tasks whose anchor
     has fewer than four telling words, stand alone.
     """
-    anchor = normal_finding(F.col("anchor"))
+    anchor = F.col("_anchor")
     alone = F.col("protected") | (F.size(F.split(anchor, " ")) < 4) | (anchor == "")
     key = F.when(alone, F.concat(F.lit("#"), F.col(order).cast("string"))).otherwise(F.sha2(anchor, 256))
-    keyed = tasks.withColumns({"_key": key, "_power": strength(F.col("severity"), F.col("page"), F.col("action"), F.col(order))})
+    power = strength(F.col("severity"), F.col("page"), F.col("action"), F.col(order))
+    # stored, as four readers need the key of a whole text
+    keyed = stored(tasks.withColumn("_anchor", normal_finding(F.col("anchor"))).withColumns({"_key": key, "_power": power}).drop("_anchor"))
     best = keyed.groupBy("_key").agg(F.max("_power").alias("_best"), F.count("*").alias("_n"))
     marked = keyed.join(best, "_key").withColumn("_stays", F.col("_power") == F.col("_best"))
     kept = marked.where("_stays")
