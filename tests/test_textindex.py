@@ -84,3 +84,46 @@ def test_knn_of_empty_tables_and_vectors_of_other_lengths(spark):
     c = spark.createDataFrame([(7, [1.0, 1.0]), (8, [2.0]), (9, [1.0, 2.0, 3.0]), (10, None)], "chunk_id long, vector array<double>")
     assert {(r["query_id"], r["chunk_id"]) for r in retrieval.knn(q, c, 5).collect()} == {(1, 7), (2, 8)}
     assert retrieval.knn(q.limit(0), c, 5).count() == retrieval.knn(q, c.limit(0), 5).count() == 0
+
+
+def blocks_of(docs):
+    number = {}
+    split = [(d, Counter(re.findall("[a-z0-9]+", (t or "").lower()))) for d, t in docs if d is not None]
+    split = [(d, c.total(), np.array([number.setdefault(w, len(number)) for w in c]), np.array(list(c.values()))) for d, c in split if c]
+    return [textindex._block(split[i : i + 200], list(number)) for i in range(0, len(split), 200)]
+
+
+@pytest.mark.parametrize("every", [False, True])
+def test_queries_that_look_into_a_block_are_settled_together(monkeypatch, every):
+    docs = some_docs(900, 5)
+    docs += [(2000 + d, t) for d, t in docs[:300]]  # copies tie
+    queries = [(i, " ".join((docs[i][1] or "").split()[: 1 + i % (40 if not every else 4)])) for i in range(0, 400)] + [(900, ""), (902, "nowhere")]
+    calls, name = [], "_all" if every else "_any"
+    settle = getattr(textindex, name)
+    monkeypatch.setattr(textindex, name, lambda *a: calls.append(len(a[0][0])) or settle(*a))
+    blocks, ids = blocks_of(docs), np.array([q for q, _ in queries])
+    asked = textindex._numbered([t for _, t in queries], False)
+    want = plain(queries, docs, 7, every, False)
+
+    def search(bars=None):
+        [found] = textindex._searcher(ids, asked, 7, every, bars=bars)(iter(blocks))
+        rank = Counter()
+        return [(q, d, s, rank.update([q]) or rank[q]) for q, d, s in zip(*(c.to_pylist() for c in found.columns))]
+
+    same(search(), want)
+    assert 0 < len(calls) <= len(blocks)
+    least = {q: s for q, _, s, r in want if r == 7}
+    same(search(np.array([least.get(q, 0.0) for q in ids])), want)
+    for constant, small in dict(LOT_QUERIES=30, LOT_TERMS=90, DENSE=8, DENSE_WORDS=5, EXPANDED=500, SUMMED=3, WAITING=10).items():
+        monkeypatch.setattr(textindex, constant, small)
+    same(search(), want)
+
+
+@pytest.mark.parametrize("every", [False, True])
+def test_thousands_of_queries_go_over_the_index_once(spark, monkeypatch, every):
+    docs = spark.createDataFrame([(i, f"w{i % 50} w{i % 7}") for i in range(5000)], "doc_id long, text string")
+    index, passes = textindex.text_index(docs), []
+    store = textindex.stored
+    monkeypatch.setattr(textindex, "stored", lambda df, *a: passes.append(1) or store(df, *a))
+    found = textindex.search_index(index, docs.withColumnRenamed("doc_id", "query_id"), 3, every)
+    assert found.count() == 15000 and len(passes) == 1
