@@ -88,3 +88,15 @@ def test_upsert_and_publication(spark):
     rows = spark.createDataFrame([("d", 1), ("d", 2), ("e", 1)], "draft string, run int")
     shown = records.published(rows, spark.createDataFrame([("d", 2)], "draft string, active int"), "draft", "run")
     assert {(r["draft"], r["run"]): r["is_published"] for r in shown.collect()} == {("d", 1): False, ("d", 2): True, ("e", 1): False}
+
+
+def test_tei_files_are_parsed_once(spark):
+    head = "<TEI xmlns='http://www.tei-c.org/ns/1.0'><titleStmt><title>  A <hi>b</hi> </title><title>second</title></titleStmt><abstract> a <abstract>in</abstract></abstract>"
+    body = "<body><div><head>one<!-- c -->two<b>three</b></head><head>x&amp;<![CDATA[y]]></head><div><head>nested</head></div></div></body>"
+    back = "<listBibl><biblStruct/><x><biblStruct/></x><biblStruct><title>no</title></biblStruct></listBibl></TEI>"
+    files = spark.createDataFrame([("f", head + body + back), ("g", "<p:TEI xmlns:p='u'><p:titleStmt><p:title>t</p:title></p:titleStmt></p:TEI>"), ("h", ""), ("i", None)], "file_id string, xml string")
+    found = citations.tei_fields(files)
+    assert found.dtypes == [("file_id", "string"), ("title", "string"), ("abstract", "string"), ("headings", "array<string>"), ("n_references", "int")]
+    assert [tuple(r) for r in found.orderBy("file_id").collect()] == [
+        ("f", "A b", "a in", ["one", "two", "x&y"], 2), ("g", "t", "", [], 0), ("h", None, None, None, None), ("i", None, None, None, None)]
+    assert "xpath" not in found._jdf.queryExecution().toString()
