@@ -85,25 +85,26 @@ def co_cited(references: DataFrame, least: int, own: DataFrame, most: int) -> Da
     return counts.join(own, "work", "left_anti").orderBy(F.desc("cited_by"), "work").limit(most)
 
 
-def near_in_group(left: DataFrame, right: DataFrame, group: str, least: float) -> DataFrame:
+def near_in_group(left: DataFrame, right: DataFrame | None, group: str, least: float) -> DataFrame:
     """(group, left_id, right_id, similarity): pairs of a group with a cosine of ``least`` or more; sides are (group, id, vector).
 
-    left is a stated set of queries; a group's rows meet in blocks, so no group is one task's work.  Null vectors and groups take
-    part in nothing.
+    right: None if each row of left meets all others of its group; such a row is dealt once.  A group's rows meet in blocks, so no group is one
+    task's work.  Null vectors and groups take part in nothing.
     """
     kind = left.schema[group].dataType.simpleString()
-    side = lambda df, mine: df.where(f"vector is not null and {group} is not null").select(group, F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector"), F.lit(mine).alias("asked"))
+    side = lambda df, asked, met: df.where(f"vector is not null and {group} is not null").select(group, F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector"), F.lit(asked).alias("asked"), F.lit(met).alias("met"))
 
     def compare(a: pd.DataFrame, b: pd.DataFrame | None) -> pd.DataFrame:
         out = []
         for x, y in ((a, a),) if b is None else ((a, b), (b, a)):
-            for one, two in of_equal_length(x[x["asked"]], y[~y["asked"]]):
+            for one, two in of_equal_length(x[x["asked"]], y[y["met"]]):
                 similar = unit(one["vector"]) @ unit(two["vector"]).T
                 i, j = np.nonzero((similar >= least) & (one["id"].to_numpy()[:, None] != two["id"].to_numpy()[None]))
                 out.append(pd.DataFrame({"left_id": one["id"].to_numpy()[i], "right_id": two["id"].to_numpy()[j], "similarity": similar[i, j]}))
         return pd.concat(out) if out else pd.DataFrame({"left_id": [], "right_id": [], "similarity": []})
 
-    return pairs_in_groups(side(left, True).unionByName(side(right, False)), group, compare, f"{group} {kind}, left_id long, right_id long, similarity double")
+    rows = side(left, True, True) if right is None else side(left, True, False).unionByName(side(right, False, True))
+    return pairs_in_groups(rows, group, compare, f"{group} {kind}, left_id long, right_id long, similarity double")
 
 
 def topic_terms(docs: DataFrame, without: list[str], most: int) -> DataFrame:
