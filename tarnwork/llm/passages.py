@@ -29,6 +29,8 @@ LEAST_SPAN_WORDS = 20
 BATCH_BYTES = 4_000_000
 #: Candidate groups with more paragraphs are verified by their band keys.
 BLOCK = 1500
+#: Pairs, or shingles of pairs, that a task looks at a time.
+PAIRS = 1_000_000
 
 _POWER, _INVERSE = np.uint64(0x5851F42D4C957F2D), np.uint64(pow(0x5851F42D4C957F2D, -1, 1 << 64))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -64,21 +66,33 @@ def _ranges(values: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.nda
     return _mixed((sums[stops] - sums[starts]) * _powers(len(values) + 1, _INVERSE)[starts] + (stops - starts).astype(np.uint64) * _MIX)
 
 
+def _words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Texts joined by line breaks, in lower case; where their words begin and end; the hash of each word."""
+    low = _LOWER[np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)]
+    edge = np.diff(np.r_[0, _IN_WORD[low].astype(np.int8), 0])
+    w0, w1 = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    # in pieces, so that the power tables stay small
+    words = [_ranges(low[a:b].astype(np.uint64) + np.uint64(1), w0[i:j] - a, w1[i:j] - a) for i in range(0, len(w0), 65536) for j in [min(i + 65536, len(w0))] for a, b in [(w0[i], w1[j - 1])]]
+    return low, w0, w1, np.concatenate(words) if words else np.zeros(0, np.uint64)
+
+
+def whole(bodies: list[bytes]) -> dict[str, np.ndarray]:
+    """Each body as one paragraph: first and last (words), unit, and ``words``, as in ``paragraphs``."""
+    _, w0, _, words = _words(bodies)
+    last = np.searchsorted(w0, np.cumsum([len(b) + 1 for b in bodies]))
+    first = np.r_[0, last[:-1]].astype(np.int64)
+    return {"first": first, "last": last, "unit": _ranges(words, first, last), "words": words}
+
+
 def paragraphs(texts: list[bytes]) -> dict[str, np.ndarray]:
     """Paragraphs of a list of texts: text, start and stop (bytes), first and last (words), unit (hash of the words).
 
     Also ``words``: the hash of each word, over all texts.
     """
-    data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
-    low = _LOWER[data]
-    inside = _IN_WORD[low]
-    edge = np.diff(np.r_[0, inside.astype(np.int8), 0])
-    w0, w1 = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    low, w0, w1, words = _words(texts)
     none = np.zeros(0, np.int64)
     if not len(w0):
         return {"text": none, "start": none, "stop": none, "first": none, "last": none, "unit": none.view(np.uint64), "words": none.view(np.uint64)}
-    # in pieces, so that the power tables stay small
-    words = np.concatenate([_ranges(low[a:b].astype(np.uint64) + np.uint64(1), w0[i:j] - a, w1[i:j] - a) for i in range(0, len(w0), 65536) for j in [min(i + 65536, len(w0))] for a, b in [(w0[i], w1[j - 1])]])
     sizes = np.array([len(t) + 1 for t in texts], np.int64)
     text_end = np.cumsum(sizes)
     ends = np.unique(np.searchsorted(w0, np.flatnonzero(_ENDS[low])))  # words before each sentence end
@@ -194,68 +208,135 @@ def places(rows: DataFrame) -> DataFrame:
     return rows.select("doc", "row", "text").mapInArrow(run, "doc long, row long, unit long, start long, stop long, n_words int, body binary")
 
 
+def shingle_sets(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(shingle, body): the set of shingles of each body, one after the other; those of a body in order."""
+    p = whole(bodies)
+    length = p["last"] - p["first"]
+    count = np.where(length > 0, np.maximum(length - SHINGLE_WORDS + 1, 1), 0)
+    body = np.repeat(np.arange(len(bodies)), count)
+    h = shingles(p["words"])[np.arange(len(body)) + np.repeat(p["first"] - (np.cumsum(count) - count), count)]
+    short = length[body] < SHINGLE_WORDS
+    h[short] = p["unit"][body[short]]
+    order = np.lexsort((h, body))
+    h, body = h[order], body[order]
+    once = np.r_[True, (h[1:] != h[:-1]) | (body[1:] != body[:-1])][: len(h)]
+    return h[once], body[once]
+
+
 def similar(units: list[int], bodies: list[bytes], similarity: float) -> list[tuple[int, int]]:
-    """Links that join what chains of pairs with an exact Jaccard similarity of at least ``similarity`` join.
+    """Links that join what chains of pairs with an exact Jaccard similarity of at least ``similarity`` join."""
+    return [(units[i], units[j]) for i, j in similar_in_groups(np.zeros(len(bodies), np.int64), *shingle_sets(bodies), similarity)]
+
 
-    The paragraph that shares most shingles with the others is compared with all of them, then every one that it is not similar to:
-    two that are similar to it are joined already.  So a group of near copies costs time in proportion to its paragraphs.
+def similar_in_groups(group: np.ndarray, shingle: np.ndarray, of: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """(i, j): links within groups that join what chains of similar pairs join; group: of each body, in order; shingle and of: their sets.
+
+    The body that shares most shingles with its group is compared with all of it; those similar to it are joined.  Any other is compared
+    with the bodies that have one of its rarest shingles among their own rarest (of n shingles the n - ceil(similarity * n) + 1 rarest must hold a
+    common one), unless chains of links join the two already.  So a group of near copies costs time in proportion to its bodies.
     """
-    sets = []
-    for body in bodies:
-        p = paragraphs([body])
-        n = len(p["words"])
-        sets.append(np.unique(shingles(p["words"])[: max(1, n - SHINGLE_WORDS + 1)] if n >= SHINGLE_WORDS else p["unit"]))
-    sizes = np.array([len(s) for s in sets])
-    every, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
-    order = np.argsort(every, kind="stable")
-    every, of = every[order], of[order]
-    ends = np.cumsum(sizes)
-    met_all = np.searchsorted(every, np.concatenate(sets), "right") - np.searchsorted(every, np.concatenate(sets), "left")
-    hub = int(np.add.reduceat(met_all, ends - sizes).argmax())
-    forest, links, joined = Forest(), [], np.zeros(len(sets), bool)
-    for i in [hub, *(i for i in range(len(sets)) if i != hub)]:
-        if joined[i]:
-            continue
-        a, b = np.searchsorted(every, sets[i], "left"), np.searchsorted(every, sets[i], "right")
-        n = b - a
-        j, common = np.unique(of[np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())], return_counts=True)
-        near = j[(common >= similarity * (sizes[i] + sizes[j] - common) - 1e-9) & (j != i)]
-        if i == hub:
-            joined[near] = True
-        for k in near.tolist():
-            if forest.link(i, k):
-                links.append((units[i], units[k]))
+    bodies = len(group)
+    n = np.bincount(of, minlength=bodies)
+    order = np.lexsort((shingle, group[of]))
+    h, of = shingle[order], of[order]
+    g = group[of]
+    starts = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (g[1:] != g[:-1])][: len(h)])
+    size = np.diff(np.r_[starts, len(h)])
+    common = np.repeat(size > 1, size)
+    alone = n - np.bincount(of[common], minlength=bodies)  # shingles that no other body of the group has
+    of, size = of[common], size[size > 1]
+    if not len(of):
+        return []
+    run, starts = np.repeat(np.arange(len(size)), size), np.cumsum(size) - size
+    met = np.bincount(of, weights=size[run], minlength=bodies)
+    of_group = np.r_[0, np.cumsum(group[1:] != group[:-1])]
+    by_met = np.lexsort((-met, of_group))
+    hub = by_met[np.r_[True, of_group[by_met][1:] != of_group[by_met][:-1]]][of_group]  # of each body's group
+    with_hub = np.logical_or.reduceat(of == hub[of], starts)
+    shared = np.bincount(of, weights=with_hub[run], minlength=bodies)
+    each = np.arange(bodies)
+    joined = (shared >= similarity * (n[hub] + n - shared) - 1e-9) & (each != hub) & (n > 0)
+    root = np.where(joined, hub, each)
+    links = list(zip(hub[joined].tolist(), each[joined].tolist()))
+    # the rarest shingles of each body, those that nobody shares first
+    rarest = n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1 - alone
+    by_body = np.lexsort((run, size[run], of))
+    begin = np.searchsorted(of[by_body], each)
+    rare = by_body[np.arange(len(of)) - begin[of[by_body]] < rarest[of[by_body]]]
+    rare = rare[np.lexsort((of[rare], run[rare]))]
+    r_of, r_run = of[rare], run[rare]
+    asks = np.flatnonzero((~joined & (each != hub))[r_of])
+    if not len(asks):
+        return links
+    asks = asks[np.argsort(r_of[asks], kind="stable")]
+    r_begin, r_end = np.searchsorted(r_run, r_run[asks], "left"), np.searchsorted(r_run, r_run[asks], "right")
+    spot = np.sort(of * len(size) + run)  # which body has which shingle
+    mine, held = np.sort(of), run[np.lexsort((run, of))]
+    body_at = np.searchsorted(mine, np.arange(bodies + 1))
+    for low, high in _pieces(r_end - r_begin, PAIRS):
+        # a shingle whose bodies are all joined already links no more
+        runs = np.flatnonzero(np.r_[True, r_run[1:] != r_run[:-1]])
+        open_ = np.repeat(np.minimum.reduceat(root[r_of], runs) != np.maximum.reduceat(root[r_of], runs), np.diff(np.r_[runs, len(r_run)]))
+        some = np.arange(low, high)[open_[asks[low:high]]]
+        k = r_end[some] - r_begin[some]
+        i, j = np.repeat(r_of[asks[some]], k), r_of[np.repeat(r_begin[some] - (np.cumsum(k) - k), k) + np.arange(k.sum())]
+        pairs = np.unique((i * bodies + j)[(root[i] != root[j]) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-9)])
+        i, j = pairs // bodies, pairs % bodies
+        for a, b in _pieces(np.diff(body_at)[j], PAIRS):
+            x, y = i[a:b], j[a:b]
+            k = body_at[y + 1] - body_at[y]
+            wanted = np.repeat(x, k) * len(size) + held[np.repeat(body_at[y] - (np.cumsum(k) - k), k) + np.arange(k.sum())]
+            at = np.minimum(np.searchsorted(spot, wanted), len(spot) - 1)
+            both = np.bincount(np.repeat(np.arange(len(x)), k), weights=spot[at] == wanted, minlength=len(x))
+            near = both >= similarity * (n[x] + n[y] - both) - 1e-9
+            forest, new = Forest(), []
+            for p, q in zip(x[near].tolist(), y[near].tolist()):
+                if forest.link(int(root[p]), int(root[q])):
+                    new.append((p, q))
+            if new:
+                links += new
+                old = np.array(sorted(forest.up), np.int64)
+                to = np.arange(bodies)
+                to[old] = [forest.root(v) for v in old.tolist()]
+                root = to[root]
     return links
 
 
-def body_keys(body: bytes, bands: int) -> np.ndarray:
-    """Band keys of a paragraph from its bytes."""
-    words = paragraphs([body])["words"]
-    first, last = np.array([0]), np.array([len(words)])
-    return band_keys({"first": first, "last": last, "words": words, "unit": _ranges(words, first, last)}, bands)[:, 0]
+def _pieces(costs: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of places whose costs are ``most`` in all at most, or one place."""
+    total, start = np.cumsum(costs), 0
+    while start < len(costs):
+        stop = max(start + 1, int(np.searchsorted(total, most + (total[start - 1] if start else 0), "right")))
+        yield start, stop
+        start = stop
 
 
 def _links_in_groups(rows: DataFrame, group: str, similarity: float) -> DataFrame:
     """(a, b): links within each group of rows (group, unit, body), sorted by group within their partitions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, bytes]] = []
-        links: list[tuple[int, int]] = []
-        now = None
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []  # group, unit, shingle, body, of groups that may go on
 
-        def close() -> None:
-            if len(held) > 1:
-                links.extend(similar([h[0] for h in held], [h[1] for h in held], similarity))
-            held.clear()
+        def closed() -> pa.RecordBatch:
+            sizes = np.cumsum([0, *(len(x[0]) for x in held)])
+            groups, units, shingle = (np.concatenate([x[k] for x in held]) for k in range(3))
+            links = similar_in_groups(groups, shingle, np.concatenate([x[3] + n for x, n in zip(held, sizes)]), similarity)
+            i, j = (np.array([x[k] for x in links], np.int64) for k in (0, 1))
+            return pa.RecordBatch.from_arrays([pa.array(units[i]), pa.array(units[j])], ["a", "b"])
 
-        for batch in batches:
-            for g, unit, body in zip(*(batch.column(c).to_pylist() for c in range(3))):
-                if g != now:
-                    close()
-                    now = g
-                held.append((unit, body))
-        close()
-        yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in links], pa.int64()) for k in (0, 1)], ["a", "b"])
+        for batch in slices(batches, BATCH_BYTES, 2):
+            groups, units = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            shingle, body = shingle_sets(batch.column(2).to_pylist())
+            last = int(np.argmax(groups == groups[-1]))
+            for part, (a, b) in enumerate(((0, last), (last, len(groups)))):
+                inside = (body >= a) & (body < b)
+                if part and held and held[-1][0][-1] != groups[-1]:
+                    yield closed()
+                    held.clear()
+                if b > a:
+                    held.append((groups[a:b], units[a:b], shingle[inside], body[inside] - a))
+        if held:
+            yield closed()
 
     return rows.select(group, "unit", "body").sortWithinPartitions(group).mapInArrow(run, "a long, b long")
 
@@ -264,20 +345,19 @@ def verified_links(candidates: DataFrame, bands: int, similarity: float = SIMILA
     """(a, b) of units in the same group whose exact similarity is high enough; candidates: (group, unit, body), units distinct.
 
     Groups are closures of collisions and may be long chains, so those of more than ``block`` paragraphs are not verified as a whole
-    but by the band keys they collided in: a paragraph goes to as many tasks as there are bands.
+    but by the band keys they collided in: a paragraph goes to as many tasks as there are bands.  Such a group is dealt by its paragraphs first.
     """
-    sized = candidates.join(candidates.groupBy("group").agg(F.count("*").alias("size")).where("size > 1"), "group")
+    large = candidates.groupBy("group").agg(F.count("*").alias("size")).where(F.col("size") > block).select("group")
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = [body_keys(body, bands) for body in batch.column(2).to_pylist()]
-            if keys:
-                at = pa.array(np.repeat(np.arange(len(keys)), bands))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), batch.column(1).take(at), batch.column(2).take(at)], ["key", "unit", "body"])
-
-    whole = _links_in_groups(sized.where(F.col("size") <= block).repartition(tasks, "group"), "group", similarity)
-    chains = sized.where(F.col("size") > block).select("group", "unit", "body").mapInArrow(keyed, "key long, unit long, body binary")
-    return whole.unionByName(_links_in_groups(chains.repartition(tasks, "key"), "key", similarity))
+        for batch in slices(batches, BATCH_BYTES, 2):
+            keys = band_keys(whole(batch.column(2).to_pylist()), bands)
+            at = pa.array(np.tile(np.arange(batch.num_rows), bands))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), batch.column(1).take(at), batch.column(2).take(at)], ["key", "unit", "body"])
+
+    small = _links_in_groups(candidates.join(large, "group", "left_anti").repartition(tasks, "group"), "group", similarity)
+    chains = candidates.join(large, "group", "left_semi").repartition(tasks, "unit").select("group", "unit", "body").mapInArrow(keyed, "key long, unit long, body binary")
+    return small.unionByName(_links_in_groups(chains.repartition(tasks, "key"), "key", similarity))
 
 
 def paragraph_dedup(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, least_words: int = LEAST_SPAN_WORDS) -> DataFrame:
